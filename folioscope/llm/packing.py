@@ -1,14 +1,14 @@
 """Operator 4: packing by cutting-stock column generation.
 
 Documents are encoded once and cut into full sequences and one remainder. The
-pieces' lengths make a histogram over size classes: exact up to 64 tokens, then
-multiples of 8, rounded up, so a piece never outgrows its slot. A linear program
+pieces' lengths make a histogram over size classes, multiples of 8 tokens, rounded
+up, so a piece never outgrows its slot and loses 7 tokens at most. A linear program
 over patterns (how many pieces of each class share one sequence) covers the
 histogram; it starts from one pattern a class and a knapsack dynamic program
-prices new ones until none is worth more than 0.1 %. The solution is rounded down,
-what is left is filled greedily, largest first, and the k-th piece of a class
-takes the k-th slot of that class. The program sees the histogram alone (at most
-312 rows, whatever the input), never the pieces.
+prices new ones, until the cover is within 0.1 % of what any cover needs. The
+solution is rounded down, what is left is filled greedily, largest first, and the
+k-th piece of a class takes the k-th slot of that class. The program sees the
+histogram alone (capacity / 8 rows at most, whatever the input), never the pieces.
 
 The order of the pieces in a class is (partition of the encoding stage, place in
 it), taken from the written table, so it holds when tasks run again. Counts by
@@ -32,13 +32,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import new_path
 from folioscope.llm.tokens import encoder, slices
 
-EXACT, UNIT = 64, 8
-
-
-def size_classes(lengths, capacity: int) -> np.ndarray:
-    """The slot size for each length."""
-    lengths = np.asarray(lengths)
-    return np.minimum(np.where(lengths <= EXACT, lengths, -(-lengths // UNIT) * UNIT), capacity)
+UNIT = 8
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -65,12 +59,18 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[floa
 
 
 def cover(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = 1e-3) -> list[tuple[np.ndarray, float]]:
-    """Patterns and amounts of a nearly optimal linear cover: revised simplex with columns generated by the knapsack."""
+    """Patterns and amounts of a nearly optimal linear cover: revised simplex with columns generated by the knapsack.
+
+    It ends within ``tolerance`` of a lower bound: the space that the pieces take, or the one that the prices imply.
+    """
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     cost, inverse = np.ones(m), np.diag(1.0 / np.diag(basis))
     amount = inverse @ demand
-    for step in range(40 * m + 200):
+    least = sizes @ demand / capacity
+    for _ in range(40 * m + 200):
+        if cost @ amount <= least * (1 + tolerance):
+            break
         dual = cost @ inverse
         if dual.min() < -1e-9:  # more of a class than there is does no harm: a column that takes one away is free
             column, price = np.zeros(m), 0.0
@@ -89,12 +89,9 @@ def cover(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float
         amount = np.maximum(amount - ratios[out] * direction, 0)
         amount[out] = ratios[out]
         basis[:, out], cost[out] = column, price
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:
-            inverse[out] /= direction[out]
-            others = np.arange(m) != out
-            inverse[others] -= np.outer(direction[others], inverse[out])
+        row = inverse[out] / direction[out]
+        inverse -= np.multiply.outer(direction, row)
+        inverse[out] = row
     return [(basis[:, i].copy(), float(amount[i])) for i in range(m) if cost[i] == 1 and amount[i] > 1e-9]
 
 
@@ -151,7 +148,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)
-                    size = length if length <= EXACT else min(capacity, -(-length // UNIT) * UNIT)
+                    size = -(-length // UNIT)
                     out.append((doc_id, start, length, n, size, part, placed[size], ids[4 * start : 4 * (start + length)]))
                     placed[size] += 1
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
@@ -165,7 +162,10 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
-    """docs (doc_id, text) as pieces: doc_id, start, length, doc_tokens, ids, ids_crc32, sequence_id, offset, sequence_tokens, padded_tokens.
+    """docs (doc_id, text) as pieces of sequences of at most ``capacity`` tokens, a multiple of 8.
+
+    Columns: doc_id, start, length, doc_tokens, ids, ids_crc32,
+    sequence_id, offset, sequence_tokens, padded_tokens.
 
     ``padded_tokens``: what the sequence takes, its own length at a power of two, else the capacity.
     Columns that a caller drops (``ids``, say) are not moved.
@@ -173,8 +173,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048)
     spark = docs.sparkSession
     pieces = cut(docs, tokenizer, end_id, capacity)
     counts = pieces.groupBy("part", "size").count()
-    histogram = {r.size: r.n for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # 312 rows at most
-    made = plan(histogram, capacity)
+    histogram = {r.size: r.n for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}  # capacity / UNIT rows at most
+    made = plan(histogram, capacity // UNIT)
     earlier = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "size", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
     places = spark.createDataFrame(slots(made), "size int, lo bigint, hi bigint, each bigint, first bigint")
