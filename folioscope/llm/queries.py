@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, packing, sharding, token_store
+from folioscope.llm import bpe, packing, quality, sharding, simhash, token_store
 from folioscope.llm.common import new_path, table, utf8_bytes
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,6 +18,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(BYTE_BPE)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=2048)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_tokens")
@@ -42,7 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op8_sharding, op9_token_store, op10_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op8_sharding, op9_token_store, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
