@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, packing, quality, sharding, simhash, token_store
+from folioscope.llm import bpe, chat, packing, quality, sharding, simhash, token_store
 from folioscope.llm.common import new_path, table, utf8_bytes
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -18,6 +18,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(BYTE_BPE)
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    paths, tree = chat.format_conversations(table(spark, sf_dir, "conversations").select(extra.columns).unionByName(extra))
+    return chat.read_back(paths, tree)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,8 +59,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality, op4_packing, op8_sharding, op9_token_store, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_packing, op8_sharding, op9_token_store, op10_bpe)}
+
+
+def _escaped_chars(column: str) -> str:
+    """The length of a text after escaping: one more for each of five characters."""
+    return f"(length({column}) * 6 - " + " - ".join(f"length(replace({column}, '{c}', ''))" for c in ("\\", "[", "]", "<", ">")) + ")"
+
+
+OP1_SQL = f"""
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum({_escaped_chars('text')} + case role when 'user' then 18 when 'system' then 13 when 'assistant' then 5 else 15 + {_escaped_chars('role')} end) as bigint) as formatted_chars
+from said group by conv_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat": OP1_SQL}

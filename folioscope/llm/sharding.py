@@ -13,10 +13,10 @@ goes to shard 0. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize
+from folioscope.llm.prefix import prefix_sums
 
 
 def assign_shards(df: DataFrame, n_shards: int = 40, key: str = "doc_id", size: str = "size", ties: tuple[str, ...] = ()) -> DataFrame:
@@ -25,24 +25,9 @@ def assign_shards(df: DataFrame, n_shards: int = 40, key: str = "doc_id", size:
     Select only what must travel with the rows: every column of df is moved once
     by the range partitioning and once by the running sums.
     """
-    order = [F.col(c).asc_nulls_first() for c in (key, *ties)]
+    order = [F.col(c).asc_nulls_first() for c in (key, *ties)] + [F.col("_size")]
     sized = df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
-    parts = materialize(sized.repartitionByRange(*order, F.col("_size")).withColumn("_part", F.spark_partition_id()), "shard-parts")
-    totals = parts.groupBy("_part").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a partition of the range shuffle: that bounds both this window and the broadcasts.
-    bases = totals.select(
-        "_part",
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_base"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"),
-        F.sum("_bytes").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
-    )
-    inside = Window.partitionBy("_part").orderBy(*order, "_size")
-    placed = (
-        parts.join(F.broadcast(bases), "_part")
-        .withColumn("start", F.col("_base") + F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
-        .withColumn("_rank", F.col("_first") + F.row_number().over(inside) - 1)
-        .withColumn("shard", F.when(F.col("_total") > 0, F.expr(f"least({n_shards - 1}, (2 * start + _size) * {n_shards} div (2 * _total))")).otherwise(F.lit(0)).cast("int"))
-    )
+    middle = F.expr(f"least({n_shards - 1}, (2 * _start + _size) * {n_shards} div (2 * _total))")
+    placed = prefix_sums(sized, order, "_size", "shard-parts").withColumn("shard", F.when(F.col("_total") > 0, middle).otherwise(F.lit(0)).cast("int"))
     firsts = placed.groupBy("shard").agg(F.min("_rank").alias("_shard_first"))  # n_shards rows at most
-    return placed.join(F.broadcast(firsts), "shard").select(*df.columns, "shard", (F.col("_rank") - F.col("_shard_first")).alias("slot"), "start")
+    return placed.join(F.broadcast(firsts), "shard").select(*df.columns, "shard", (F.col("_rank") - F.col("_shard_first")).alias("slot"), F.col("_start").alias("start"))
