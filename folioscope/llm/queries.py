@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, chat, packing, quality, sharding, simhash, token_store
+from folioscope.llm import bpe, chat, packing, quality, sharding, simhash, suffix_dedup, token_store
 from folioscope.llm.common import new_path, table, utf8_bytes
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_tokens")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (utf8_bytes("text") + 16).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     placed = sharding.assign_shards(docs, 40, "doc_id", "size", ties=("text_crc32",))
@@ -59,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_packing, op8_sharding, op9_token_store, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_packing, op7_suffix_dedup, op8_sharding, op9_token_store, op10_bpe)}
 
 
 def _escaped_chars(column: str) -> str:
