@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, packing, quality, sharding, simhash, suffix_dedup, token_store
+from folioscope.llm import ann, bpe, chat, lm, packing, quality, sharding, simhash, suffix_dedup, token_store
 from folioscope.llm.common import new_path, table, utf8_bytes
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -68,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_packing, op5_ann, op7_suffix_dedup, op8_sharding, op9_token_store, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_packing, op5_ann, op6_lm, op7_suffix_dedup, op8_sharding, op9_token_store, op10_bpe)}
 
 
 def _escaped_chars(column: str) -> str:
