@@ -118,7 +118,7 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _table(schema: str, columns: list) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32()}
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
@@ -307,7 +307,9 @@ def merged(spans: list) -> list[list[int]]:
     return out
 
 
-def _cutter(stay: list[str]):
+def _cutter(stay: list[str], as_text: bool):
+    schema = _CUT.replace("binary", "string") if as_text else _CUT
+
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
@@ -316,8 +318,8 @@ def _cutter(stay: list[str]):
                 raw, runs = (text or "").encode(), merged(spans or [])
                 edges = [0, *(x for run in runs for x in run), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((len(raw), len(raw) - len(kept), len(runs), kept))
-            cut = _table(_CUT, list(zip(*rows, strict=True)) if rows else [[]] * 4)
+                rows.append((len(raw), len(raw) - len(kept), len(runs), kept.decode("utf-8", "ignore") if as_text else kept))
+            cut = _table(schema, list(zip(*rows, strict=True)) if rows else [[]] * 4)
             yield pa.RecordBatch.from_arrays([*(column[c] for c in stay), *cut.columns], [*stay, *cut.schema.names])
 
     return cut_out
@@ -339,14 +341,15 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, keyed.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, as_text: bool = False) -> DataFrame:
     """docs (doc_id, text, …) with n_bytes, n_removed, n_spans and kept (the bytes that are left); one row for each of docs.
 
     These replace columns of the same names; the original text goes along only with_text.
+    as_text: kept is a string, without the parts of characters that a span's ends cut in two.
     """
     plain = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "_key", "_spans")
     keyed, distinct = _keyed(plain)
     spans = repeated_spans(distinct).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
     stay = [f for f in plain.schema if with_text or f.name != "text"]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in stay) + _CUT
-    return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(_cutter([f.name for f in stay]), schema)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in stay) + (_CUT.replace("binary", "string") if as_text else _CUT)
+    return keyed.join(spans, "_key", "left").drop("_key").mapInArrow(_cutter([f.name for f in stay], as_text), schema)
