@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import texts
+from folioscope.operators import chunking
 from folioscope.plans.base import query
 from folioscope.sources.views import table
 
@@ -52,3 +53,27 @@ def token_histogram(spark, sf_dir):
     n = F.col("n_chars")
     bucket = F.when(n < 400, "<100").when(n < 1200, "100-299").when(n < 2400, "300-599").when(n < 4000, "600-999").otherwise("1000+")
     return table(spark, sf_dir, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+_PAGED = "case when doc_id % 2 = 0 then replace(text, chr(10), chr(12)) else text end"
+
+
+@query()
+def paper_chunks(spark, sf_dir):
+    """Chunks of every document, without page furniture (every other document's lines are pages)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PAGED.replace("chr(10)", "'\\n'").replace("chr(12)", "'\\f'")).alias("text"))
+    chunks = chunking.chunk_documents(chunking.strip_furniture(docs), sizes=chunking.Sizes(256, 64, 24))
+    return chunking.page_starts(chunks, docs).select("doc_id", "chunk_order_index", "section_title", "tokens", "raw_tokens", "overlap_prev_tokens", "page_start", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def chunk_report(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.evaluate(chunking.chunk_documents(docs, sizes=chunking.Sizes(256, 64, 24)), chunking.Sizes(256, 64, 24))
+
+
+@query("select doc_id, case when length(text) - length(replace(text, chr(10), '')) + 1 >= 50 then 'book' else 'paper' end as kind from documents")
+def document_kinds(spark, sf_dir):
+    """The router: these documents have no headers, so their pages (lines here) decide."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("t"))
+    return d.select("doc_id", chunking.route(F.col("t")).alias("kind"))
