@@ -30,11 +30,11 @@ _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BARS = frozenset(x.encode() for x in "|>»•·")
 _MARKS = re.compile(r"[.!?…。！？](?:\s|$|[\"'”’»)\]])|[:;\"'”’»)\]]\s*$")
 #: Phrases of navigation and boilerplate, in the languages of the corpus: fixed values.
-_BOILERPLATE = re.compile(
+BOILERPLATE = (
     r"cookie|javascript|all rights reserved|terms of (use|service)|privacy policy|copyright ©|click here|log ?in|sign ?(in|up)|subscribe|read more|share this|"
-    r"lorem ipsum|tous droits réservés|mentions légales|alle rechte vorbehalten|datenschutz|impressum|todos los derechos reservados|aviso legal",
-    re.IGNORECASE,
+    r"lorem ipsum|tous droits réservés|mentions légales|alle rechte vorbehalten|datenschutz|impressum|todos los derechos reservados|aviso legal"
 )
+_BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE)
 
 
 @dataclass(frozen=True)

@@ -93,5 +93,25 @@ from said group by conv_id
 """
 
 
+OP3_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents), w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+windows as (select doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] as g from (select doc_id, w, unnest(generate_series(1, len(w) - 2)) as i from w)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from windows) where n > 1),
+repeats as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from twice) group by 1),
+lines as (select doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as own from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
+told as (select doc_id, line, own, len(own) as n, list_sum(list_transform(own, lambda x: length(x))) as chars,
+    len(list_filter(own, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 0.3 * len(own)
+    or len(list_filter(own, lambda x: x in ('|', '>', '»', '•', '·'))) >= 3
+    or len(own) <= 24 and regexp_matches(line, '(?i)BOILERPLATE')
+    or len(own) >= 4 and (upper(line) = line and lower(line) <> line or length(regexp_replace(line, '[^A-Z]', '', 'g')) > 0.6 * strlen(line))
+    or len(own) > 12 and not regexp_matches(line, '[.!?…。！？](?:\s|$|["''”’»)\]])|[:;"''”’»)\]]\s*$') as fails from lines where len(own) > 0),
+by_line as (select doc_id, count(*) - count(distinct line) as dup, coalesce(sum(chars) filter (fails), 0) as lost, coalesce(sum(n) filter (not fails), 0) as left_words from told group by 1),
+base as (select w.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    coalesce(dup, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, coalesce(lost, 0) as lost, coalesce(left_words, 0) as left_words from w left join by_line using (doc_id) left join repeats r using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and lost <= 0.5 * word_chars and left_words >= 50 as kept from base
+""".replace("BOILERPLATE", quality.BOILERPLATE)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL}
+    return {"op1_chat": OP1_SQL, "op3_quality": OP3_SQL}
