@@ -79,3 +79,30 @@ def coverage(chunks: DataFrame, stored: DataFrame, doc: str, key: str) -> DataFr
 def activity(events: DataFrame, chat: str, user: str, ts: str) -> DataFrame:
     """For each chat its number of messages, the latest and who wrote it."""
     return events.groupBy(chat).agg(F.count("*").alias("n_messages"), F.max(ts).alias("latest"), F.max_by(user, F.struct(ts, user)).alias("latest_by"))
+
+
+def renumbered(files: DataFrame, stem: str, name: str) -> DataFrame:
+    """name, letter: files of one stem lettered a, b, … by name without gaps; a file alone has none."""
+    own = Window.partitionBy(stem)
+    rank = F.row_number().over(own.orderBy(name))
+    return files.select(stem, name, F.when(F.count("*").over(own) > 1, F.char(96 + rank)).otherwise(F.lit("")).alias("letter"))
+
+
+def intake(incoming: DataFrame, store: DataFrame, *keep: str) -> DataFrame:
+    """name, ``keep``, decision of incoming files (name, size, hash, stem, doi) against a store: the first that holds of
+    dup-identical (name and hash), collision (name), dup-content (size and hash), dup-samepaper (stem and doi), needs-naming (no stem), promote."""
+    names = store.groupBy("name").agg(F.collect_set("hash").alias("_hashes"))
+    contents = store.select("size", "hash").distinct().withColumn("_same", F.lit(True))
+    works = store.filter("doi != ''").select("stem", "doi").distinct().withColumn("_work", F.lit(True))
+    joined = incoming.join(names, "name", "left").join(contents, ["size", "hash"], "left").join(works, ["stem", "doi"], "left")
+    decision = (
+        F.when(F.array_contains("_hashes", F.col("hash")), "dup-identical").when(F.col("_hashes").isNotNull(), "collision").when(F.col("_same"), "dup-content").when(F.col("_work"), "dup-samepaper").when(F.coalesce("stem", F.lit("")) == "", "needs-naming").otherwise("promote")
+    )
+    return joined.select("name", *keep, decision.alias("decision"))
+
+
+def merge_pinned(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best passages of each pinned file, files numbered by first appearance: file_path, reference_id, chunk_id, score."""
+    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("_r") <= k)
+    numbered = best.groupBy("file_path").agg(F.min("chunk_id").alias("_c")).withColumn("reference_id", F.row_number().over(Window.orderBy("_c")))
+    return best.join(F.broadcast(numbered.drop("_c")), "file_path").select("file_path", "reference_id", "chunk_id", "score")
