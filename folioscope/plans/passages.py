@@ -63,10 +63,11 @@ def retrieval_scores(spark, sf_dir):
 
 @query("select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
 def located_quotes(spark, sf_dir):
-    """Quotes held word for word by a document: a broadcast of the quotes only while they are few, else by their first words."""
+    """Quotes held word for word by a document, met by their first whole words, then verified."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     key = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 4), " ")  # noqa: E731  whole words, so a quote's first whole words are a key
-    words = F.split("text", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " "))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))
     asked = items.select("item_id", F.col("text").alias("quote"), key("text").alias("k"))
-    return docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("k")).join(asked, "k").filter(F.contains("text", F.col("quote"))).select("doc_id", "item_id").distinct()
+    each = docs.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
+    likely = each.join(asked, "k").select("doc_id", "item_id", "quote").distinct()  # texts join only after this
+    return docs.select("doc_id", "text").join(likely, "doc_id").filter(F.contains("text", F.col("quote"))).select("doc_id", "item_id").distinct()
