@@ -23,7 +23,6 @@ than ``k`` give all of them; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
