@@ -9,23 +9,51 @@ from collections.abc import Callable, Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: A byte-level pre-tokenizer always begins a word at a space that text follows, so a text may be cut there.
-_CUT = re.compile(r" (?=\S)")
-#: Nor does a word reach over the border of letters and such a mark.
-_WORD_AND_REST = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?\n].*)", re.DOTALL)
+#: No word reaches over the border of letters and such a mark.
+_WORD_AND_REST = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?\n].*)", re.DOTALL)
 #: Entries a worker keeps at most; beyond, the cache starts anew. Bounds memory, never results.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
+_random = np.random.default_rng(3)
+_BYTE = _random.integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_BASE = [int(x) * 2 + 1 for x in _random.integers(1, 2**62, 2)]
+#: Bytes before which a text is not cut: ASCII white space and controls, and what may lead a space beyond ASCII.
+_JOINED = np.zeros(256, dtype=bool)
+_JOINED[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+class _Powers:
+    """Powers of two bases and their inverses, modulo 2**64, as many as asked for."""
+
+    def __init__(self):
+        self.n, self.rows = 0, []
+
+    def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if n > self.n:
+            self.n, self.rows = n + n // 8, []
+            for base in _BASE:
+                pair = []
+                for b in (base, pow(base, -1, 2**64)):
+                    p = np.full(self.n, b, dtype=np.uint64)
+                    p[0] = 1
+                    pair.append(np.multiply.accumulate(p))
+                self.rows.append(tuple(pair))
+        return self.rows
+
+
+_POWERS = _Powers()
 
 
 class ChunkCache:
     """Encodes texts by asking once for each distinct chunk.
 
-    ``ask`` encodes a list of texts to ids (little-endian unsigned 32-bit). It must
-    be a byte-level BPE without normalizer or prefix space: then a text may be cut
-    before each space that text follows without changing an id.
+    ``ask`` encodes a list of texts to ids (little-endian unsigned 32-bit). It must be a
+    byte-level BPE without normalizer or prefix space: that always begins a word at a space
+    that text follows, so a text may be cut there. Chunks are told apart by two hashes of
+    64 bits; should the first alone ever confuse two, the texts are asked for whole.
     """
 
     def __init__(self, ask: Callable[[list[str]], list[bytes]]):
@@ -33,32 +61,71 @@ class ChunkCache:
         self.clear()
 
     def clear(self) -> None:
-        self.chunks: dict[str, bytes] = {}  # each without its leading space
-        self.rests: dict[str, bytes] = {}
-
-    def _learn(self, missing: set[str]) -> None:
-        pairs = [(x, m[1], m[2]) for x in missing if (m := _WORD_AND_REST.fullmatch(x))]
-        words = [*({w for _, w, _ in pairs} - self.chunks.keys()), *(missing - {x for x, _, _ in pairs} - {w for _, w, _ in pairs})]
-        rests = [*({r for _, _, r in pairs} - self.rests.keys())]
-        self.chunks.update(zip(words, self.ask([" " + w for w in words]), strict=True))
-        self.rests.update(zip(rests, self.ask(rests), strict=True))
-        self.chunks.update((x, self.chunks[w] + self.rests[r]) for x, w, r in pairs)
+        self.place: dict[int, int] = {}  # of a chunk, by its first hash
+        self.parts: dict[str, bytes] = {}
+        self.second = np.zeros(1024, dtype=np.uint64)
+        self.start, self.length = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.ids, self.used = np.zeros(4096, dtype="<u4"), 0
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; a word and the marks behind it are asked for apart, as they recur in other company."""
+        split = [(m[1], m[2]) if (m := _WORD_AND_REST.fullmatch(x)) else (x, "") for x in chunks]
+        fresh = [*{p for pair in split for p in pair}.difference(self.parts)]
+        self.parts.update(zip(fresh, self.ask(fresh), strict=True))
+        return [self.parts[a] + self.parts[b] for a, b in split]
+
+    def _keep(self, first: list[int], second: np.ndarray, found: list[bytes]) -> None:
+        n, m = len(self.place), len(self.place) + len(first)
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        total = self.used + int(lengths.sum())
+        if m > len(self.second):
+            self.second, self.start, self.length = (np.concatenate([x[:n], np.zeros(2 * m - n, dtype=x.dtype)]) for x in (self.second, self.start, self.length))
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * total - self.used, dtype="<u4")])
+        self.second[n:m], self.length[n:m] = second, lengths
+        self.start[n:m] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : total] = np.frombuffer(b"".join(found), dtype="<u4")
+        self.place.update(zip(first, range(n, m), strict=True))
+        self.used = total
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [text.split(" ") for text in texts]
-        wanted = set().union(*pieces)
-        odd = {x for x in wanted if not x or x[0].isspace()}
-        if odd:  # a run of white space with a space in it: cut those texts with care
-            pieces = [p if odd.isdisjoint(p) else _CUT.split(t) for t, p in zip(texts, pieces, strict=True)]
-            wanted = set().union(*pieces)
-        heads = self.ask([p[0] for p in pieces])
-        missing = {x for x in wanted - self.chunks.keys() if x and not x[0].isspace()}
-        if len(self.chunks) + len(self.rests) + len(missing) > CACHE_ENTRIES:
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        whole = b"".join(raw)
+        if not whole:
+            return [b""] * len(texts)
+        buf, ends = np.frombuffer(whole, dtype=np.uint8), np.cumsum(sizes)
+        cut = np.zeros(len(buf) + 1, dtype=bool)
+        cut[:-2] = (buf[:-1] == 0x20) & ~_JOINED[buf[1:]]
+        cut[(ends - 1)[sizes > 0]] &= sizes[sizes > 0] == 1  # a space that ends a text is led by what is before it
+        cut[ends - sizes] = True
+        cut[-1] = True
+        edges = np.flatnonzero(cut)
+        lo, hi = edges[:-1], edges[1:]
+        hashes = []
+        for byte, (power, inverse) in zip(_BYTE, _POWERS.upto(len(buf)), strict=True):
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(byte[buf] * power[: len(buf)])])
+            x = (sums[hi] - sums[lo]) * inverse[lo]
+            hashes.append(x ^ (x >> np.uint64(31)))
+        one, two = hashes[0], hashes[1] ^ (hi - lo).astype(np.uint64)
+        first, at, which = np.unique(one, return_index=True, return_inverse=True)
+        if len(self.place) + len(first) > CACHE_ENTRIES or len(self.parts) > CACHE_ENTRIES:
             self.clear()
-            missing = {x for x in wanted if x and not x[0].isspace()}
-        self._learn(missing)
-        found = self.chunks.__getitem__
-        return [head + b"".join(map(found, p[1:])) for head, p in zip(heads, pieces, strict=True)]
+        known = first.tolist()
+        placed = np.fromiter((self.place.get(k, -1) for k in known), dtype=np.int64, count=len(known))
+        new = np.flatnonzero(placed < 0)
+        if len(new):
+            chunks = [whole[a:b].decode() for a, b in zip(lo[at[new]].tolist(), hi[at[new]].tolist(), strict=True)]
+            placed[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self._keep([known[i] for i in new.tolist()], two[at[new]], self._learn(chunks))
+        mine = placed[which]
+        if (self.second[mine] != two).any():
+            return self.ask(texts)
+        counts = self.length[mine]
+        after = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.start[mine] - (after - counts), counts) + np.arange(int(after[-1]))]
+        last = np.concatenate([[0], after])[np.searchsorted(lo, ends)]  # ids before each text's end
+        return [ids[a:b].tobytes() for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
 
 
 class LibraryEncoder:
@@ -86,7 +153,7 @@ def encoder(path: str) -> LibraryEncoder:
     return _ENCODERS[path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of Arrow batches of about ``most`` bytes of text, with their texts (null: empty)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
