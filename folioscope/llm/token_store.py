@@ -43,7 +43,9 @@ _DOCS = "doc_id bigint, part int, block int, nth int, n_tokens bigint, ids binar
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the serialized ids of a bounded, deterministic sample."""
-    sample = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS)
+    ids = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    chosen = docs.filter(F.col("doc_id").isin([i for i in ids if i is not None])) if ids else docs.limit(0)
+    sample = chosen.groupBy("doc_id").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS)).alias("text")).orderBy("doc_id")
     end = np.array([end_id], dtype="<u4").tobytes()
     samples = [x + end for x in encoder(tokenizer).encode([r.text for r in sample.collect()])]
     try:
