@@ -141,12 +141,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     of_class = named.select("fp", "component").join(firsts, "component").select("fp", "component_id")
     joined = rows.join(of_class, "fp")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row of least doc_id stays (rows of null id stay).
-
-    Of repeated rows of that doc_id, all stay: they cannot be told apart by id.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.filter(F.col("doc_id").isNull()))
