@@ -27,9 +27,9 @@ def bm25(spark, sf_dir):
 b as (select *, coalesce(sum(tokens) over (order by rank rows between unbounded preceding and 1 preceding), 0) as before, row_number() over (partition by source order by rank) as nth from s)
 select doc_id, cast(chunk as int) as chunk, rank, tokens from b where before < 3000 or nth <= 2""")
 def passages_within_budget(spark, sf_dir):
-    """The 200 best passages of a query, as far as 3000 tokens go, and two of each source."""
+    """The best passages of a query, as far as 3000 tokens go, and two of each source; its SQL has only the 200 best."""
     chunks = text_chunks(spark, sf_dir)
-    scored = passages.bm25(chunks, _Q, ["doc_id", "chunk"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id", "chunk").limit(200)
+    scored = passages.bm25(chunks, _Q, ["doc_id", "chunk"]).withColumn("score", F.round("score", 6))
     ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "chunk")).cast("long"))
     sized = ranked.join(chunks.select("doc_id", "chunk", "source", F.ceil(F.length("content") / 4).alias("tokens")), ["doc_id", "chunk"])
     return passages.select_within_budget(sized, "source", "tokens", 3000).select("doc_id", "chunk", "rank", "tokens")
