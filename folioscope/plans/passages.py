@@ -63,11 +63,13 @@ def retrieval_scores(spark, sf_dir):
 
 @query("select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text)")
 def located_quotes(spark, sf_dir):
-    """Quotes held word for word by a document, met by their first whole words, then verified."""
+    """Quotes held word for word by a document, met by their first inner words, then verified; quotes of five words and fewer meet every text."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    key = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 4), " ")  # noqa: E731  whole words, so a quote's first whole words are a key
+    key = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 4), " ")  # noqa: E731  the first and last word may be part of a longer one in the text
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))
-    asked = items.select("item_id", F.col("text").alias("quote"), key("text").alias("k"))
+    quotes = items.select("item_id", F.col("text").alias("quote"), F.size(F.split("text", " ")).alias("n"))
+    asked = quotes.filter("n > 5").select("item_id", "quote", key("quote").alias("k"))
+    short = docs.select("doc_id", "text").join(quotes.filter("n <= 5"), F.contains("text", F.col("quote"))).select("doc_id", "item_id")
     each = docs.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
     likely = each.join(asked, "k").select("doc_id", "item_id", "quote").distinct()  # texts join only after this
-    return docs.select("doc_id", "text").join(likely, "doc_id").filter(F.contains("text", F.col("quote"))).select("doc_id", "item_id").distinct()
+    return docs.select("doc_id", "text").join(likely, "doc_id").filter(F.contains("text", F.col("quote"))).select("doc_id", "item_id").unionByName(short).distinct()
