@@ -80,12 +80,32 @@ def is_excluded(title: str) -> bool:
     return _NUMBERED.sub("", title).lower().rstrip(".:").strip() in EXCLUDED
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, str, str]]:
-    """(section, its title, paragraph) of a text, excluded sections left out; blank lines and headers part paragraphs."""
+def keeps_excluded(parts: list[tuple[int, str, str]], count: Callable[[str], int]) -> bool:
+    """Whether leaving out excluded sections would drop most of a long text: false headers (a contents page, running heads)."""
+    tokens, sections = {True: 0, False: 0}, {True: set(), False: set()}
+    for section, title, body in parts:
+        out = is_excluded(title)
+        tokens[out] += count(body)
+        sections[out].add(section)
+    kept, out = tokens[False], tokens[True]
+    if not out:
+        return False
+    share = out / (kept + out)
+    return (kept == 0 and out >= 1000) or (share >= 0.8 and kept <= 2000 and out >= 10000) or (share >= 0.95 and out >= 5000) or (len(sections[False]) <= 1 and len(sections[True]) >= 2 and share >= 0.7 and out >= 5000)
+
+
+def paragraphs(text: str, count: Callable[[str], int]) -> Iterator[tuple[int, str, str]]:
+    """(section, its title, paragraph) of a text, excluded sections left out unless they are most of it."""
+    parts = list(_paragraphs(text))
+    yield from parts if keeps_excluded(parts, count) else (p for p in parts if not is_excluded(p[1]))
+
+
+def _paragraphs(text: str) -> Iterator[tuple[int, str, str]]:
+    """(section, its title, paragraph) of a text; blank lines and headers part paragraphs."""
     section, title, held = 0, "", []
 
     def flush() -> Iterator[tuple[int, str, str]]:
-        if held and not is_excluded(title):
+        if held:
             yield section, title, " ".join(held)
         held.clear()
 
@@ -132,7 +152,7 @@ def pack(text: str, count: Callable[[str], int], sizes: Sizes) -> list[dict]:
             emit(section, title, held)
 
     held: tuple[int, str, str] | None = None
-    for section, title, body in paragraphs(text):
+    for section, title, body in paragraphs(text, count):
         caption = bool(_CAPTION.match(body))
         if held and not caption and held[0] == section and count(body) <= sizes.longest and count(held[2] + "\n\n" + body) <= sizes.longest:
             held = (section, title, held[2] + "\n\n" + body)
