@@ -11,7 +11,8 @@ Spark can reach will do):
 Every document is one zstandard frame of its ids (little-endian unsigned 32-bit,
 with the end id), compressed alone with the shared dictionary, so one document is
 read by its offsets alone. Documents lie in ascending doc_id order (nulls first,
-then by text) over parts, blocks and offsets.
+then by a hash of the frame) over parts, blocks and offsets. Texts are encoded where
+they are read, so only frames are moved and sorted.
 
 Null texts count as empty: a document is then its end id only. Repeated rows are
 kept. An empty table gives a store without blocks and an empty dictionary.
@@ -29,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import discard, materialize
 from folioscope.llm.tokens import encoder, slices
 
 BLOCK_BYTES = 1 << 20
@@ -38,9 +40,14 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 8192
 
 _BLOCKS = "part int, block int, first_doc bigint, last_doc bigint, dict_hash string, doc_ids array<bigint>, n_tokens array<int>, offsets array<bigint>, payload binary"
+_FRAMES = "doc_id bigint, place bigint, n int, frame binary"
 _DOCS = "doc_id bigint, part int, block int, nth int, n_tokens bigint, ids binary"
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the serialized ids of a bounded, deterministic sample."""
     ids = [r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
@@ -67,9 +74,18 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lev
     shared = spark.sparkContext.broadcast(raw)  # DICTIONARY_BYTES at most
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = _dictionary(shared.value)
-        press = zstandard.ZstdCompressor(level=level, dict_data=d) if d else zstandard.ZstdCompressor(level=level)
+        compress = (zstandard.ZstdCompressor(level=level, dict_data=d) if d else zstandard.ZstdCompressor(level=level)).compress
+        encode, place = encoder(tokenizer).encode, TaskContext.get().partitionId() << 33
+        for rows, texts in slices(batches, "text"):
+            ids = [x + end for x in encode(texts)]
+            counts = pa.array([len(x) // 4 for x in ids], pa.int32())
+            places = pa.array(np.arange(place, place + len(ids)))
+            place += len(ids)
+            yield pa.RecordBatch.from_arrays([rows.column(0), places, counts, pa.array([compress(x) for x in ids], pa.binary())], _names(_FRAMES))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
         ids, counts, frames, held = [], [], [], 0
 
@@ -78,25 +94,26 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, lev
             known = [x for x in ids if x is not None]
             values = [part, block, known[0] if known else None, known[-1] if known else None, digest, ids, counts, offsets, b"".join(frames)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-            names = [x.split()[0] for x in _BLOCKS.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], _names(_BLOCKS))
 
-        for rows, texts in slices(batches, "text"):
-            for doc_id, x in zip(rows.column(0).to_pylist(), encoder(tokenizer).encode(texts), strict=True):
-                x += end
-                frames.append(press.compress(x))
+        for batch in batches:
+            for doc_id, n, frame in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                frames.append(frame)
                 ids.append(doc_id)
-                counts.append(len(x) // 4)
-                held += len(frames[-1])
+                counts.append(n)
+                held += len(frame)
                 if held >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
                     yield row()
                     block, ids, counts, frames, held = block + 1, [], [], [], 0
         if ids:
             yield row()
 
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pressed = materialize(plain.mapInArrow(press, _FRAMES), "token-frames")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("frame"), F.col("place")]  # place: rows of one id may be many
+    ordered = pressed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
     ordered.mapInArrow(pack, _BLOCKS).write.parquet(f"{path}/blocks")
+    discard(pressed)
 
 
 def _decode(blocks: DataFrame, dictionary: tuple[str, bytes], wanted: frozenset | None = None) -> DataFrame:
@@ -120,7 +137,7 @@ def _decode(blocks: DataFrame, dictionary: tuple[str, bytes], wanted: frozenset
                     if out and (held > 8 << 20 or i + 1 == len(b["doc_ids"])):
                         columns = list(zip(*out, strict=True))
                         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _DOCS.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _names(_DOCS))
                         out, held = [], 0
 
     return blocks.mapInArrow(unpack, _DOCS)
