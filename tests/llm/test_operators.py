@@ -314,25 +314,74 @@ def test_lm_base_and_rows(spark, hostile, empty):
 
 def test_lm_held_out_and_groups(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    monkeypatch.setattr(lm, "GROUP_BYTES", 50_000)
+    for name in ("CHUNK_BYTES", "BUCKET_BYTES"):
+        monkeypatch.setattr(lm, name, 50_000)
     rows = [r for r in lm.score(docs).collect() if r.held_out]
     tokens = sum(r.n_tokens for r in rows)
     assert sum(r.score for r in rows) / tokens > sum(r.base_score for r in rows) / tokens + 0.2
 
 
-def test_lm_spelling_sums_to_one():
-    model = lm.Spelling(*np.unique(lm.events([b"ab", b"abc", b"b", b""])[0], return_counts=True), seed=1)
-    letters = [bytes([c]) for c in range(256)]
-    first = np.exp(model.logp([b""]))[0] + sum(np.exp(model.logp([a]))[0] / np.exp(model.logp([a]))[0] * _prefix(model, a) for a in letters)
-    assert abs(first - 1) < 1e-9
-
-
-def _prefix(model, a):
-    keys, _ = lm.events([a])
-    k = keys[:1]
-    p = model.back[k // lm.SYMBOLS] * model.low[k % lm.SYMBOLS**2]
-    at = min(np.searchsorted(model.keys, k[0]), len(model.keys) - 1)
-    return float(p[0] + (model.own[at] if model.keys[at] == k[0] else 0))
+LITTLE = ["the cat sat on the mat", "the cat sat on the hat", "the dog ate the cat", "a dog sat", "the cat sat", "", "a cat and a dog and a mat"] * 3
+
+
+def test_lm_is_the_plain_model(spark, monkeypatch):
+    """Scores from the seating that was sampled, by a plain loop; probabilities sum to one in every context."""
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 60)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(lm, "SPLIT", 4)
+    docs = spark.createDataFrame([(i, t + (" unseen" if i == 0 else "")) for i, t in enumerate(LITTLE)], "doc_id long, text string")
+    model = lm.fit(docs)
+    t, names = model.totals, {}
+    for r in model.chunks.collect():  # numbers back to words, by the texts themselves
+        numbers = np.concatenate([lm.unpack(x.a) for x in sorted(model.numbers.filter(F.col("at") == r["at"]).collect(), key=lambda x: x.peer)])
+        said = [w for i in np.frombuffer(r.d, dtype="<i8").tolist() for w in [*(LITTLE[i] + (" unseen" if i == 0 else "")).split(), ""]]
+        names |= dict(zip(numbers[lm.unpack(r.a)].tolist(), said, strict=True))
+    held = {i for i in range(len(LITTLE)) if zlib.crc32(str(i).encode()) % 5 == 1}
+    n = Counter((a, b) for i, x in enumerate(LITTLE) if i not in held for w in [x.split() + (["unseen"] if i == 0 else [])] for a, b in zip(["", *w], [*w, ""]))
+    sampled = Counter({p: lm.SAMPLES for p, c in n.items() if c == 1})
+    for r in model.seats.collect():
+        for u, w, count, tables in zip(lm.unpack_sorted(r.a).tolist(), *(lm.unpack(r[x]).tolist() for x in "bcf")):
+            assert n[names[u], names[w]] == count and lm.SAMPLES <= tables <= count * lm.SAMPLES
+            sampled[names[u], names[w]] = tables
+    at_root, of, by_context = {}, {}, {}
+    for r in model.samples.collect():
+        for i, (c, s, tables, m) in enumerate(zip(*(lm.unpack(r[x]).tolist() for x in "abcd"))):
+            word = names[i * t.buckets + r["at"]]
+            at_root[r.peer, word], by_context[r.peer, word], of[word] = (c, s), tables, m
+    words = {w for _, w in n}
+    assert of == {w: sum(c for (a, _), c in n.items() if a == w) for w in of}
+    for u in of:
+        assert sum(by_context[k, u] for k in range(lm.SAMPLES)) == sum(s for (a, _), s in sampled.items() if a == u)
+
+    def p(u, w):
+        total = 0
+        for k, (customers, tables) in enumerate(model.of_samples):
+            c, s = at_root.get((k, w), (0, 0))
+            root = (c - t.root * s + (1 + t.root * tables) / (len(words) + 1)) / (1 + customers)
+            total += (1 + t.own * by_context.get((k, u), 0)) * root / lm.SAMPLES
+        return (n[u, w] - t.own * sampled[u, w] / lm.SAMPLES + total) / (1 + of.get(u, 0))
+
+    for u in [*words, "never"]:
+        assert abs(sum(p(u, w) for w in words) + p(u, "another") - 1) < 1e-12
+    for r in lm.score(docs).collect():
+        w = LITTLE[r.doc_id].split() + (["unseen"] if r.doc_id == 0 else [])
+        assert abs(r.score - sum(math.log10(p(a, b)) for a, b in zip(["", *w], [*w, ""]))) < 1e-9
+
+
+def test_lm_gibbs_moves_follow_the_posterior():
+    """Tables of one dish of five customers, over many moves, against their exact distribution."""
+    d, parent, others, n = 0.6, 0.3, 2, 5
+    stirling = {(1, 1): 1.0}
+    for m in range(1, n):
+        for k in range(1, m + 2):
+            stirling[m + 1, k] = stirling.get((m, k - 1), 0) + (m - d * k) * stirling.get((m, k), 0)
+    weight = [stirling[n, k] * math.prod((lm.STRENGTH + d * (others + j)) * parent for j in range(k)) for k in range(1, n + 1)]
+    rng, copies = np.random.default_rng(4), 20_000
+    size, at, tables = np.full(copies, n), np.arange(copies), np.full(copies, others + 1)
+    t, _ = lm.reseat(rng, size, np.ones(copies, dtype=np.int64), size.copy(), at, tables, np.full(copies, parent), d, moves=60)
+    assert (tables == t + others).all()
+    got = np.bincount(t, minlength=n + 1)[1:] / copies
+    assert np.abs(got - np.array(weight) / sum(weight)).max() < 0.015
 
 
 # 7: suffixes
