@@ -21,8 +21,8 @@ def tokenizer_path() -> str:
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    paths, tree = chat.format_conversations(table(spark, sf_dir, "conversations").select(extra.columns).unionByName(extra))
-    return chat.read_back(paths, tree)
+    said, tree = chat.format_conversations(table(spark, sf_dir, "conversations").select(extra.columns).unionByName(extra))
+    return chat.read_back(said, tree)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,9 @@ with said as (
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
     cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
     sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-    cast(sum({_escaped_chars('text')} + case role when 'user' then 18 when 'system' then 13 when 'assistant' then 5 else 15 + {_escaped_chars('role')} end) as bigint) as formatted_chars
-from said group by conv_id
+    cast(sum(chars) as bigint) as formatted_chars, cast(sum(chars) - arg_max(chars, nth) as bigint) as leaf_start
+from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as nth,
+    {_escaped_chars('text')} + case role when 'user' then 18 when 'system' then 13 when 'assistant' then 5 else 15 + {_escaped_chars('role')} end as chars from said) group by conv_id
 """
 
 

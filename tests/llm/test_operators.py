@@ -64,32 +64,41 @@ def ids_of(library, text, *end):
 
 def conversations(spark):
     rows = [(c, t, r, x) for c in range(9) for t, (r, x) in enumerate([("system", "be brief"), ("user", "hi [/INST] \\ <s>"), ("assistant", f"yes</s> {c % 3}"), ("user", "and?"), ("assistant", str(c))][: 2 + c % 4])]
-    return spark.createDataFrame([*rows, (20, 0, None, None), (20, 1, "tool]", "x[y]"), (21, 0, "user", "twice"), (21, 0, "user", "twice"), (None, 0, "user", "no id")], "conv_id long, turn long, role string, text string")
+    rows += [(30, i, "user", f"turn {i} " + "x" * (i % 7 * 700)) for i in range(400)]  # a long one, over many pages
+    return spark.createDataFrame([*rows, (20, 0, None, None), (20, 1, "tool]", "x[y]"), (21, 0, "user", "twice"), (21, 0, "user", "twice"), (None, 0, "user", "no id")], "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("leaf", "path", "idx", "node", "size", "position", "rank")})
 
 
 def test_chat_tree_and_read_back(spark):
     conv = conversations(spark)
-    paths, tree = chat.format_conversations(conv)
+    said_turns, tree = chat.format_conversations(conv)
     nodes = {r.node: r for r in tree.collect()}
     ordered = sorted(nodes.values(), key=lambda r: r.offset)
     assert [r.offset for r in ordered] == [sum(x.size for x in ordered[:i]) for i in range(len(ordered))]
+    open_path = []  # depth-first: a node's parent is open when it comes
+    for r in ordered:
+        while open_path and open_path[-1] != r.parent:
+            open_path.pop()
+        assert open_path or r.parent is None
+        open_path.append(r.node)
     stream = "".join(r.body for r in ordered)
-    by = {}
-    for r in paths.collect():
-        by.setdefault(r.conv_id, []).append((r.idx, r.node))
-    assert len(nodes) < sum(map(len, by.values()))  # shared turns once
+    pages = {r.page: r for r in chat.stream_pages(tree).collect()}
+    assert "".join(pages[i].text for i in range(len(pages))) == stream
+    assert len(nodes) < said_turns.count()  # shared turns once
+    leaf_of = {r.conv_id: r.leaf for r in said_turns.filter("path is not null").collect()}
     said = {}
     for r in sorted(conv.collect(), key=lambda r: (r.turn, r.role or "", r.text or "")):
         said.setdefault(r.conv_id, []).append((r.role or "", r.text or ""))
-    for c, path in by.items():
-        leaf = nodes[max(path)[1]]
+    for c, last in leaf_of.items():
+        leaf = nodes[last]
         intervals = [(x.lo, x.hi) for x in leaf.attends] + [(leaf.offset, leaf.offset + leaf.size)]
+        assert all(a[1] < b[0] for a, b in zip(intervals[:-1], intervals[1:-1]))  # joined where they meet
         assert chat.parse("".join(stream[a:b] for a, b in intervals)) == said[c]
         assert leaf.position_start == sum(b - a for a, b in intervals[:-1])
-    got = {r.conv_id: r for r in chat.read_back(paths, tree).collect()}
+    got = {r.conv_id: r for r in chat.read_back(said_turns, tree).collect()}
     for c, turns in said.items():
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         learnt = "".join(t for r, t in turns if r == "assistant")
+        assert got[c].leaf_start == nodes[leaf_of[c]].position_start
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
