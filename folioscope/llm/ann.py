@@ -2,17 +2,24 @@
 
 Codes: vectors are made unit length by one more component (the largest inner product
 is then the least angle), rotated at random to ``BITS`` directions and by a rotation
-learned on a bounded sample (iterative quantization), and reduced to signs. Index rows
-are dealt into blocks of about ``BLOCK``; each block indexes its codes under each of
-their ``BITS / 8`` substrings of one byte. A query probes all bytes within a growing
-radius of each of its own bytes; at byte radius r that retrieves, by the pigeonhole
-principle, every code within Hamming distance (r + 1) * substrings - 1. Retrieved codes
-are verified by full distance, and once at least ``CANDIDATES`` of a block lie within
-the guaranteed radius, the nearest of them are reranked by the exact inner product of the
-original vectors in double precision. Blocks' best are merged to each query's best.
+learned on a bounded sample (iterative quantization), and reduced to signs. Rows are
+dealt into blocks of about ``BLOCK``; each block is indexed once, under each of the
+``BITS / 8`` substrings of one byte of its codes, and written. A query probes all bytes
+within a growing radius of each of its own bytes; at byte radius r that retrieves, by the
+pigeonhole principle, every code within Hamming distance (r + 1) * substrings - 1.
+Retrieved codes are verified by full distance, and once at least ``CANDIDATES`` (or
+``SHARE``) of a block lie within the guaranteed radius, all within the least radius that
+holds so many are reranked by the exact inner product of the original vectors in double
+precision. Blocks' best are merged to each query's best.
 
 All rows are indexed. The sample fits the rotation and the scale only; results differ
-from brute force only where a neighbour's code is far from the query's.
+from brute force only where a neighbour's code is far from the query's, and with ``exact``
+nowhere: then the radius grows until it holds every code.
+
+How far the radius must grow depends on the vectors. Where they fill all directions
+evenly, neighbours lie at angles of 60 degrees and more: half of BITS less a few, and at
+such a radius any substring length leaves a quarter of each table to probe, which is most
+rows in all. Bytes make those tables the cheapest; clustered vectors stop at radius 0 or 1.
 
 Vectors take part if they are not null, zero, of another length than the most common
 (the longest of equally common ones), nor hold nulls or non-finite components. Rows of
@@ -82,10 +89,10 @@ def encode(x: np.ndarray, scale: float, rotation: np.ndarray, query: bool) -> np
 class BlockIndex:
     """Codes of one block under each of their bytes: for a byte, the rows by its distance to theirs."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, rows: np.ndarray | None = None):
         self.codes, self.substrings = codes, codes.shape[1]
         self.wide = np.ascontiguousarray(codes).view(np.uint64)
-        self.rows = [np.argsort(codes[:, s], kind="stable").astype(np.uint32) for s in range(self.substrings)]
+        self.rows = np.argsort(codes, axis=0, kind="stable").T.astype(np.uint32) if rows is None else rows
         self.edges = [np.searchsorted(codes[rows, s], np.arange(257)) for s, rows in enumerate(self.rows)]
         self.probed: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -103,8 +110,6 @@ class BlockIndex:
     def near(self, code: np.ndarray, wanted: int) -> np.ndarray:
         """Rows of the nearest codes: all within a Hamming radius that holds ``wanted`` of them, or all."""
         n = len(self.codes)
-        if n <= wanted:
-            return np.arange(n)
         distance, seen = np.full(n, 255, dtype=np.uint8), np.zeros(n, dtype=bool)
         own, key = code.view(np.uint64), code.tolist()
         for radius in range(9):
@@ -121,38 +126,56 @@ class BlockIndex:
         raise AssertionError("radius 8 reaches every byte")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+_INDEX = "i int, n int, ids binary, vectors binary, codes binary, tables binary"
+
+
+def build_index(rows: DataFrame, blocks: int, scale: float, rotation: np.ndarray) -> DataFrame:
+    """One row a block: its ids, vectors, codes and the rows under each substring, all in order of id."""
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        x = np.array(group["v"].tolist(), dtype="<f8")
+        codes = encode(x, scale, rotation, False)
+        parts = group["id"].to_numpy("<i8"), x, codes, BlockIndex(codes).rows
+        return pd.DataFrame([(group["i"].iloc[0], len(x), *(p.tobytes() for p in parts))], columns=[c.split()[0] for c in _INDEX.split(", ")])
+
+    return rows.withColumn("i", _block(blocks, 1)).groupBy("i").applyInPandas(build, _INDEX)
+
+
+def _block(n: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", exact: bool = False) -> DataFrame:
     """Rows of vectors for which is_query (of ``id``) holds, with their k nearest others: query_id, rank, vec_id, score.
 
-    The cost is queries x rows / blocks of codes and SHARE of that in inner products, in blocks
+    The cost is queries x rows / blocks of codes and SHARE of that in inner products (all of it if exact), in blocks
     of bounded size: an index block meets a query block in one task.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, key, vector), "ann-vectors")
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"), F.max(F.size("v")).alias("width")).first()
     schema = "query_id bigint, vec_id bigint, score double"
     if not facts.n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], dtype=np.float64)
-    scale = float(facts.norm)
+    scale, width = float(facts.norm), facts.width
     rotation = learn_rotation(sample, scale)
-    queries = rows.filter(is_query)
-    n_blocks, q_blocks = -(-facts.n // BLOCK), -(-max(1, queries.count()) // QUERIES)
+    n_blocks, q_blocks = -(-facts.n // BLOCK), -(-max(1, rows.filter(is_query).count()) // QUERIES)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    index = rows.select("id", "v", F.lit(False).alias("query"), block(n_blocks, 1).alias("i"), every(q_blocks).alias("j"))
-    asked = queries.select("id", "v", F.lit(True).alias("query"), every(n_blocks).alias("i"), block(q_blocks, 2).alias("j"))
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        is_q, ids = group["query"].to_numpy(), group["id"].to_numpy()
-        x = np.array(group["v"].tolist(), dtype=np.float64)
-        order = np.argsort(ids[~is_q], kind="stable")
-        base, base_ids, q, q_ids = x[~is_q][order], ids[~is_q][order], x[is_q], ids[is_q]
-        if not len(base) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        tables = BlockIndex(encode(base, scale, rotation, False))
+    index = materialize(build_index(rows, n_blocks, scale, rotation), "ann-index").withColumn("j", every(q_blocks))
+    asked = rows.filter(is_query).withColumn("j", _block(q_blocks, 2)).withColumn("i", every(n_blocks))
+
+    def meet(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        if not len(queries) or not len(block):
+            return none
+        b = block.iloc[0]
+        base_ids, base = np.frombuffer(b["ids"], dtype="<i8"), np.frombuffer(b["vectors"], dtype="<f8").reshape(b["n"], width)
+        tables = BlockIndex(np.frombuffer(b["codes"], dtype=np.uint8).reshape(b["n"], -1), np.frombuffer(b["tables"], dtype=np.uint32).reshape(-1, b["n"]))
+        q, q_ids = np.array(queries["v"].tolist(), dtype=np.float64), queries["id"].to_numpy()
         codes = encode(q, scale, rotation, True)
-        wanted = max(CANDIDATES, int(SHARE * len(base)))
+        wanted = b["n"] if exact else max(CANDIDATES, int(SHARE * b["n"]))
         out = []
         for i in range(len(q)):
             near = tables.near(codes[i], wanted)
@@ -166,6 +189,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         found, others, scores = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"query_id": found, "vec_id": others, "score": scores})
 
-    met = index.unionByName(asked).groupBy("i", "j").applyInPandas(meet, schema)
+    met = asked.groupBy("i", "j").cogroup(index.groupBy("i", "j")).applyInPandas(meet, schema)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -279,6 +279,15 @@ def test_ann_recall_and_scores(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_ann_exact_is_brute_force(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 12)) * rng.uniform(0.2, 3, (600, 1))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [tuple(r)[:3] for r in ann.search(table, F.col("id") % 20 == 0, k=20, exact=True).orderBy("query_id", "rank").collect()]
+    want = [(q, k + 1, i) for q in range(0, 600, 20) for k, i in enumerate(sorted((i for i in range(600) if i != q), key=lambda i: (-float((x[q] * x[i]).sum()), i))[:20])]
+    assert got == want
+
+
 def test_ann_in_large_blocks():
     rng = np.random.default_rng(2)
     base = rng.standard_normal((8000, 24)) * rng.uniform(0.5, 2, (8000, 1))
