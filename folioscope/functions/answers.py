@@ -9,13 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CLUSTER = re.compile(r"\[(\d+(?:\s*[,;]\s*\d+)*)\]")
-_REFERENCES = re.compile(r"(?im)^\s*(?:#+\s*|\**)references\**:?\s*$")
+_BRACKETS = r"\[\s*\d+(?:\s*[,;]\s*\d+)*\s*\]"
+#: Bracketed numbers, those side by side as one, with round brackets around them or without.
+_CLUSTER = re.compile(rf"\(\s*{_BRACKETS}(?:\s*[,;]?\s*{_BRACKETS})*\s*\)|{_BRACKETS}(?:[ \t]*[,;]?[ \t]*{_BRACKETS})*")
+_HEADING = r"^[ \t]{0,3}(?:#{1,6}[ \t]*|\*\*[ \t]*)?references[ \t]*:?[ \t]*\**[ \t]*$"
 
 
 def without_references(answer: Column) -> Column:
-    """An answer up to its own list of references."""
-    return F.rtrim(F.regexp_replace(answer, r"(?ims)^[ \t]*(?:#+[ \t]*|\**)references\**:?[ \t]*$.*", ""))
+    """An answer up to its own list of references: the last such heading."""
+    held = rf"(?ims)\A(.*){_HEADING}.*\z"
+    return F.regexp_replace(F.when(F.rlike(answer, F.lit(held)), F.regexp_extract(answer, held, 1)).otherwise(answer), r"\s+\z", "")
 
 
 def cited_ids(answer: Column) -> Column:
@@ -24,15 +27,20 @@ def cited_ids(answer: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(clusters, lambda c: F.transform(F.split(c, r"\s*[,;]\s*"), lambda x: x.cast("int")))))
 
 
-def rewrite(text: str, labels: dict[str, str]) -> str:
-    """Bracketed numbers to in-text citations, a cluster as one; numbers without a label leave their cluster; marks stay behind the citation."""
+def rewrite(text: str, labels: dict[str, str], drop_unknown: bool = False) -> str:
+    """Bracketed numbers to in-text citations, a cluster as one, its labels in alphabetical order; marks stay behind the citation.
+
+    A cluster with a number that has no label stays as it is, or loses that number with drop_unknown.
+    """
 
     def one(m: re.Match) -> str:
-        known = dict.fromkeys(labels[x].strip("()") for x in re.split(r"\s*[,;]\s*", m[1]) if x in labels)
-        return f"({'; '.join(known)})" if known else ""
+        numbers = dict.fromkeys(re.findall(r"\d+", m[0]))
+        known = [labels[x].strip("()") for x in numbers if x in labels]
+        if len(known) < len(numbers) and not drop_unknown:
+            return m[0]
+        return f"({'; '.join(sorted(known, key=str.lower))})" if known else ""
 
-    out = re.sub(r"([.!?])\s*((?:\[\d+(?:\s*[,;]\s*\d+)*\]\s*)+)", lambda m: " " + m[2].strip() + m[1] + (" " if m[0][-1].isspace() else ""), text)
-    out = re.sub(r"\]\s*\[", ", ", out)
+    out = re.sub(rf"([.!?])[ \t]*({_CLUSTER.pattern})(\s|$)", r" \2\1\3", text)
     return re.sub(r" +([.,;!?])", r"\1", re.sub(r"[ \t]{2,}", " ", _CLUSTER.sub(one, out))).strip()
 
 
@@ -92,3 +100,4 @@ def valid_excerpt(excerpt: Column, text: Column, least: int = 5, most: int = 120
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     n = F.size(F.split(flat(excerpt), " "))
     return F.contains(flat(text), flat(excerpt)) & n.between(least, most)
+

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,17 +19,24 @@ def merge_new(store: DataFrame, more: DataFrame, key: str) -> DataFrame:
     return store.unionByName(more.join(store.select(key), key, "left_anti"))
 
 
-def duplicate_groups(files: DataFrame, content: str, key: str) -> DataFrame:
-    """Files of equal content: key, group (least key), keep (whether it is the one to keep: the shortest name, then least).
+def name_penalty(name: Column) -> Column:
+    """How far a file's name is from a plain Author_Year.pdf: copy markers, supplements, other forms, letters behind the year. Fixed values."""
+    canonical = r"^[A-Za-z][A-Za-z'-]*(_[A-Za-z][A-Za-z'-]*)?_[0-9]{4}[a-z]?\.pdf$"
+    faults = ((r"(__\d+|_\d{1,2})\.pdf$", 40, True), (r"(?i)_suppl\.pdf$", 30, True), (rf"{canonical}|^.+_Supplementary\.pdf$", 20, False), (r"\d{4}[a-z](_Supplementary)?\.pdf$", 5, True))
+    return reduce(add, [F.when(F.rlike(name, F.lit(p)) == found, n).otherwise(0) for p, n, found in faults])
+
+
+def duplicate_groups(files: DataFrame, content: str, key: str, name: str, rank: Column | None = None) -> DataFrame:
+    """Files of equal content: key, group (least key), n, keep: the one of the best folder (rank, 0 first) and name, then the longest name.
 
     Lengths are compared before hashes, so only texts of equal length are hashed.
     """
-    sized = files.withColumn("_n", F.octet_length(content))
-    several = sized.groupBy("_n").count().filter("count > 1").select("_n")
-    hashed = sized.join(several, "_n", "left_semi").select(key, F.sha2(F.col(content).cast("binary"), 256).alias("_h"))
-    own = Window.partitionBy("_h")
-    first = F.row_number().over(own.orderBy(F.length(F.col(key).cast("string")), key)) == 1
-    return hashed.withColumn("n", F.count("*").over(own)).withColumn("group", F.min(key).over(own)).withColumn("keep", first).filter("n > 1").select(key, "group", "n", "keep")
+    sized = files.withColumn("_n", F.octet_length(content)).withColumn("_p", 100 * (F.lit(0) if rank is None else rank) + name_penalty(F.col(name)))
+    several = sized.groupBy("_n").agg(F.count("*").alias("_m")).filter("_m > 1").select("_n")
+    hashed = sized.join(several, "_n", "left_semi").select(key, name, "_p", F.sha2(F.col(content).cast("binary"), 256).alias("_h"))
+    best = F.min(F.struct(F.col("_p"), -F.length(name), F.col(name), F.col(key)))
+    groups = hashed.groupBy("_h").agg(F.min(key).alias("group"), F.count("*").alias("n"), best.alias("_b")).filter("n > 1")
+    return hashed.join(groups, "_h").select(key, "group", "n", (F.col("_b")[key] == F.col(key)).alias("keep"))
 
 
 def canonical_spelling(values: DataFrame, value: str) -> DataFrame:
@@ -54,15 +64,18 @@ def keyset_page(rows: DataFrame, ts: str, key: str, before, limit: int) -> DataF
 
 
 def rename_chain(papers: DataFrame, renames: DataFrame, hops: int = 50) -> DataFrame:
-    """name, current: what each name is called after following renames (old, new); each hop is a join of what still moves."""
-    now = papers.select("name", F.col("name").alias("current"))
-    one = renames.select(F.col("old").alias("current"), "new")
-    for _ in range(hops):
-        moved = now.join(one, "current", "left").select("name", F.coalesce("new", "current").alias("current"), F.col("new").isNotNull().alias("moved"))
-        if moved.filter("moved").isEmpty():
-            return now
-        now = moved.drop("moved")
-    return now
+    """name, current: what each name is called after following renames (old, new; one row an old name) to their end.
+
+    Links are doubled: after round k a rename spans 2**k of them, so a chain of ``hops`` takes log2 of it in joins of one plan.
+    A chain that never ends (a cycle, or more than hops renames) leaves its names as they are, with current null.
+    """
+    spans = renames.select("old", "new")
+    for _ in range(max(1, hops.bit_length())):
+        ahead = spans.select(F.col("old").alias("new"), F.col("new").alias("_next"))
+        spans = spans.join(ahead, "new", "left").select("old", F.coalesce("_next", "new").alias("new"))
+    ends = spans.join(renames.select(F.col("old").alias("new"), F.lit(True).alias("_goes_on")), "new", "left")
+    found = ends.select(F.col("old").alias("name"), F.when(F.col("_goes_on").isNull(), F.col("new")).alias("_end"), F.lit(True).alias("_renamed"))
+    return papers.join(found, "name", "left").select("name", F.when(F.col("_renamed"), F.col("_end")).otherwise(F.col("name")).alias("current"))
 
 
 def missing(expected: DataFrame, stored: DataFrame, key: str) -> DataFrame:

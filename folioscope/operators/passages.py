@@ -6,23 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that do not count in queries and passages: fixed values.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "were", "which", "will", "with", "this", "these", "those", "what", "how", "why", "when", "where", "who")
+STOPWORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be",
+    "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did", "do", "does", "doing",
+    "down", "during", "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her", "here",
+    "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most", "my", "no",
+    "nor", "not", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "out", "over", "own", "paper",
+    "papers", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "then",
+    "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we",
+    "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your", "yours",
+)
+TOKEN = "[a-z0-9][a-z0-9'-]*"
 
 
 def query_terms(q: str) -> list[str]:
     import re
 
-    return sorted({t for t in re.findall(r"[a-z0-9]+", q.lower()) if len(t) > 1 and t not in STOPWORDS})
+    return sorted({t for t in re.findall(TOKEN, q.lower()) if len(t) > 1 and t not in STOPWORDS})
 
 
 def tokens(content: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(content), F.lit("[a-z0-9]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(content), F.lit(TOKEN), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def bm25(passages: DataFrame, q: str, keys: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """keys, score (> 0) of the passages (content) that hold a term of q. Only q's terms are shuffled."""
+    """keys, score (> 0) of the passages (content) that hold a term of q; none for a q of stop words alone. Only q's terms are shuffled."""
     terms = query_terms(q)
+    if not terms:
+        return passages.select(*keys, F.lit(0.0).alias("score")).limit(0)
     sized = passages.select(*keys, tokens(F.col("content")).alias("t")).withColumn("len", F.size("t"))
     count = lambda t: F.size(F.filter("t", lambda x: x == t))
     tf = F.array(*[F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in terms])

@@ -12,7 +12,7 @@ from folioscope.sources.views import table, text_chunks
 _Q = "The edithon of therein and thingon"
 _CHUNKS = "chunks as (select doc_id, source, i - 1 as chunk, content from (select doc_id, source, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where trim(content) <> '')"
 _STOP = ", ".join(f"'{w}'" for w in passages.STOPWORDS)
-_BM25 = f"""with {_CHUNKS}, t as (select doc_id, chunk, source, list_filter(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda x: length(x) > 1 and x not in ({_STOP})) as t from chunks),
+_BM25 = f"""with {_CHUNKS}, t as (select doc_id, chunk, source, list_filter(regexp_extract_all(lower(content), '[a-z0-9][a-z0-9''-]*'), lambda x: length(x) > 1 and x not in ({_STOP})) as t from chunks),
 facts as (select count(*) as n, avg(len(t)) as avg_len from t), terms as (select unnest({passages.query_terms(_Q)!r}) as term),
 hits as (select doc_id, chunk, source, len(t) as len, term, len(list_filter(t, lambda x: x = term)) as tf from t, terms where list_contains(t, term)), df as (select term, count(*) as df from hits group by 1),
 scored as (select doc_id, chunk, source, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) as score from hits join df using (term), facts group by 1, 2, 3) """

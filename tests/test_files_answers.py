@@ -37,7 +37,7 @@ def test_render(spark):
     a = spark.createDataFrame([(1, "Humor helps. [1][2] Others disagree [9].\n\n### References\n* [1] x"), (2, "None.")], "answer_id int, answer string")
     r = spark.createDataFrame([(1, 1, "(West, 2019)", "West"), (1, 2, "(Abel, 2001)", "Abel"), (1, 3, "(No, 1)", "No")], "answer_id int, n int, intext string, apa string")
     got = {x.answer_id: (x.text, x.references_list) for x in answers.render(a, r).collect()}
-    assert got[1] == ("Humor helps (West, 2019; Abel, 2001). Others disagree.", ["Abel", "West"])
+    assert got[1] == ("Humor helps (Abel, 2001; West, 2019). Others disagree [9].", ["Abel", "West"])
     assert got[2] == ("None.", None)
 
 
@@ -47,3 +47,32 @@ def test_locate(spark):
     assert [(r.quote_id, r.page, r.at, r.n_words) for r in answers.locate(quotes, pages).collect()] == [(1, 2, 1, 5)]
     text = spark.range(1).select(answers.valid_excerpt(F.lit("a  b c d e"), F.lit("x a b\nc d e y")).alias("v"), answers.cited_ids(F.lit("a [1, 2] b [2;3]")).alias("c")).first()
     assert text.v and text.c == [1, 2, 3]
+
+
+def test_rewrite_sorts_and_keeps_unknown():
+    labels = {"1": "Smith, 2020", "2": "adams, 2019", "3": "Brown et al., 2018"}
+    assert answers.rewrite("So it is [1, 2].", labels) == "So it is (adams, 2019; Smith, 2020)."
+    assert answers.rewrite("So ([1], [3]) and [1][2]", labels) == "So (Brown et al., 2018; Smith, 2020) and (adams, 2019; Smith, 2020)"
+    assert answers.rewrite("Held [1, 9] here", labels) == "Held [1, 9] here"
+    assert answers.rewrite("Held [1, 9] here", labels, drop_unknown=True) == "Held (Smith, 2020) here"
+
+
+def test_the_last_list_of_references_goes(spark):
+    a = spark.createDataFrame([("One.\n## References\nTwo.\n**References**\n[1] x",), ("No list.  ",)], "a string")
+    assert [r[0] for r in a.select(answers.without_references(F.col("a"))).collect()] == ["One.\n## References\nTwo.", "No list."]
+
+
+def test_rename_chains_end_or_are_null(spark):
+    from folioscope.operators import catalogue
+
+    renames = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), *((f"n{i}", f"n{i + 1}") for i in range(40))], "old string, new string")
+    papers = spark.createDataFrame([("a",), ("c",), ("x",), ("n0",), ("n39",)], "name string")
+    assert {r.name: r.current for r in catalogue.rename_chain(papers, renames).collect()} == {"a": "c", "c": "c", "x": None, "n0": "n40", "n39": "n40"}
+
+
+def test_median_and_empty_query(spark):
+    from folioscope.operators import chunking, passages
+
+    chunks = spark.createDataFrame([(n, False, "s") for n in (1, 2, 3, 4)], "raw_tokens int, is_hard_split boolean, section_title string")
+    assert chunking.evaluate(chunks).first().median == 3
+    assert passages.bm25(spark.createDataFrame([(1, "a text")], "id int, content string"), "what is the", ["id"]).count() == 0
