@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions import normalise
 from folioscope.operators.filters import record_year
 
 #: Most terms of each dimension in an overview: fixed values.
@@ -164,3 +165,13 @@ def citation_percentile(works: DataFrame, year: str, cited: str, key: str) -> Da
 
 
 __all__ = ["bursts", "capped", "citation_percentile", "corpus_years", "deltas", "filled", "lead_lag", "newcomers", "record_terms", "record_year", "shares", "smoothed", "term_stats", "term_years", "trend_detail", "windows"]
+
+
+def normalised_terms(records: DataFrame) -> DataFrame:
+    """seq, year, dim, term of records (seq, year, affiliations, subjects, type) as printed: institutions, subjects and types in one form each,
+    a record's repeats dropped after that."""
+    each = lambda c, f: F.array_distinct(F.transform(c, f))
+    dims = {"affiliations": each("affiliations", normalise.affiliation), "subjects": each("subjects", normalise.subject), "types": F.array(normalise.kind(F.col("type")))}
+    named = lambda d: lambda x: F.struct(F.lit(d).alias("dim"), x.alias("term"))
+    listed = F.concat(*(F.transform(c, named(d)) for d, c in dims.items()))
+    return records.select("seq", "year", F.explode(listed).alias("x")).select("seq", "year", "x.*").filter("term != ''")
