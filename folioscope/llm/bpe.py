@@ -181,7 +181,8 @@ def encode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """df with its column of ids and ``decoded``, their text."""
+    """df with its column of ids and ``decoded``, their text (in place of a column of that name)."""
+    df = df.drop("decoded") if ids != "decoded" else df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,9 @@ def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str) -> Dat
     rows however often tasks run. Each partition's total gives its base, a running sum
     inside it the rest; the bases (one row a partition of the shuffle) are broadcast.
     """
-    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    order = [*order, F.col("_nth")]  # rows that are equal in order, however many, may lie in several partitions
+    numbered = df.withColumn("_nth", F.monotonically_increasing_id())
+    parts = materialize(numbered.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
     totals = parts.groupBy("_part").agg(F.sum(size).alias("_sum"), F.count("*").alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -26,5 +28,5 @@ def prefix_sums(df: DataFrame, order: list[Column], size: str, name: str) -> Dat
         parts.join(F.broadcast(bases), "_part")
         .withColumn("_start", F.col("_base") + F.coalesce(F.sum(size).over(earlier), F.lit(0)))
         .withColumn("_rank", F.col("_first") + F.row_number().over(inside) - 1)
-        .drop("_part", "_base", "_first")
+        .drop("_part", "_base", "_first", "_nth")
     )

@@ -25,9 +25,11 @@ def assign_shards(df: DataFrame, n_shards: int = 40, key: str = "doc_id", size:
     Select only what must travel with the rows: every column of df is moved once
     by the range partitioning and once by the running sums.
     """
-    order = [F.col(c).asc_nulls_first() for c in (key, *ties)] + [F.col("_size")]
-    sized = df.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    stay = [c for c in df.columns if c not in ("shard", "slot", "start")]
+    keys = [F.col(c).alias(f"_key{i}") for i, c in enumerate((key, *ties))]
+    sized = df.select(F.struct(*(F.col(f"`{c}`") for c in stay)).alias("_row"), *keys, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"))
+    order = [F.col(f"_key{i}").asc_nulls_first() for i in range(len(keys))] + [F.col("_size")]
     middle = F.expr(f"least({n_shards - 1}, (2 * _start + _size) * {n_shards} div (2 * _total))")
-    placed = prefix_sums(sized, order, "_size", "shard-parts").withColumn("shard", F.when(F.col("_total") > 0, middle).otherwise(F.lit(0)).cast("int"))
-    firsts = placed.groupBy("shard").agg(F.min("_rank").alias("_shard_first"))  # n_shards rows at most
-    return placed.join(F.broadcast(firsts), "shard").select(*df.columns, "shard", (F.col("_rank") - F.col("_shard_first")).alias("slot"), F.col("_start").alias("start"))
+    placed = prefix_sums(sized, order, "_size", "shard-parts").withColumn("_shard", F.when(F.col("_total") > 0, middle).otherwise(F.lit(0)).cast("int"))
+    firsts = placed.groupBy("_shard").agg(F.min("_rank").alias("_shard_first"))  # n_shards rows at most
+    return placed.join(F.broadcast(firsts), "_shard").select(*(F.col("_row")[c].alias(c) for c in stay), F.col("_shard").alias("shard"), (F.col("_rank") - F.col("_shard_first")).alias("slot"), F.col("_start").alias("start"))

@@ -224,21 +224,29 @@ def _find_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _table(_SUFFIXES, [suffix, keys, at])
 
 
+#: Runs of rows under this size are sorted by all keys at once.
+SMALL = 64
+
+
 def multikey_order(words: np.ndarray) -> np.ndarray:
-    """The stable order of rows of 8-byte keys: sorted by the first, then runs of equal rows by the next, and so on."""
-    order = np.argsort(words[:, 0], kind="stable")
-    run = np.concatenate([[0], np.cumsum(words[order[1:], 0] != words[order[:-1], 0])])
-    for k in range(1, words.shape[1]):
-        sizes = np.bincount(run, minlength=1)
-        tied = np.flatnonzero(sizes[run] > 1)
-        if not len(tied):
-            break
-        rows = order[tied]
-        inner = np.lexsort((words[rows, k], run[tied]))
-        order[tied] = rows[inner]
-        differs = (run[1:] != run[:-1]) | (words[order[1:], k] != words[order[:-1], k])
-        run = np.concatenate([[0], np.cumsum(differs)])
-    return order
+    """The stable order of rows of 8-byte keys by multikey quicksort: rows part in three by a pivot of their key, and those equal to it go on with the next key."""
+    out, at = np.empty(len(words), dtype=np.int64), 0
+    todo = [(np.arange(len(words)), 0)]
+    while todo:
+        rows, k = todo.pop()
+        if k == words.shape[1] or len(rows) <= 1:
+            order = rows
+        elif len(rows) <= SMALL:
+            order = rows[np.lexsort(words[rows, k:].T[::-1])]
+        else:
+            keys = words[rows, k]
+            pivot = np.sort(keys[:: max(1, len(keys) // 9)])[4]  # the median of nine
+            less, more = keys < pivot, keys > pivot
+            todo += [(rows[more], k), (rows[~(less | more)], k + 1), (rows[less], k)]
+            continue
+        out[at : at + len(order)] = order
+        at += len(order)
+    return out
 
 
 _SORTED = "bucket int, key bigint, at bigint, again boolean, leads boolean, first binary, last binary"

@@ -177,7 +177,7 @@ def test_quality_base(spark, hostile, empty):
     import re
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    got = sorted(quality.judge(hostile.drop("n_words", "kept")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect(), key=str)
+    got = sorted(quality.judge(hostile).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect(), key=str)
     want = []
     for i, t in rows_of(hostile):
         t = t or ""
@@ -438,8 +438,9 @@ def test_suffixes_planted(spark):
 
 
 def test_multikey_order():
-    words = np.random.default_rng(1).integers(0, 3, (500, 4)).astype(np.uint64)
-    assert multikey(words) == sorted(range(500), key=lambda i: (*words[i].tolist(), i))
+    for top in (3, 40, 2**63):
+        words = np.random.default_rng(1).integers(0, top, (1500, 4)).astype(np.uint64)
+        assert multikey(words) == sorted(range(1500), key=lambda i: (*words[i].tolist(), i))
 
 
 def multikey(words):
@@ -449,9 +450,9 @@ def multikey(words):
 # 8: sharding
 
 def test_sharding(spark, hostile, empty):
-    sized = hostile.drop("shard", "start").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)) + 16)
+    sized = hostile.withColumns({c: F.lit("clash") for c in ("_part", "_start", "_rank", "_nth", "slot", "_shard")}).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)) + 16)
     rows = sharding.assign_shards(sized, 5, "doc_id", "size", ties=("text",)).collect()
-    assert len(rows) == hostile.count()
+    assert len(rows) == hostile.count() and rows[0].asDict().keys() == {*sized.columns} and len(rows[0]) == len(sized.columns)
     order = sorted(rows, key=lambda r: r.start)
     assert [r.doc_id for r in order] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i))
     assert [r.start for r in order] == [sum(x["size"] for x in order[:i]) for i in range(len(order))]
@@ -490,7 +491,7 @@ def test_token_store(spark, hostile, empty, path, library):
 
 
 def test_bpe_is_the_library(spark, hostile, empty, path, library):
-    got = bpe.decode(bpe.encode(hostile.drop("ids"), path), path).collect()
+    got = bpe.decode(bpe.encode(hostile, path).withColumn("decoded", F.lit(1)), path).collect()
     assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((i, ids_of(library, t)) for i, t in rows_of(hostile))
     assert all(r.decoded == library.decode(np.frombuffer(r.ids, dtype="<u4").tolist(), skip_special_tokens=False) for r in got)
     assert bpe.encode(empty, path).count() == 0

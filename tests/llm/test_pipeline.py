@@ -4,7 +4,9 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_operators import SCHEMA, TEXTS, brute_cut, brute_fingerprint, check_packing, library, path  # noqa: F401
+from pyspark.sql import functions as F
+from test_near_copies import brute_kept
+from test_operators import SCHEMA, TEXTS, brute_cut, check_packing, library, path  # noqa: F401
 
 import corpus_pipeline
 from folioscope.llm import quality, queries
@@ -16,14 +18,8 @@ def plain_stages(rows):
     """The texts by doc_id after each filtering stage."""
     kept = {i: c["cleaned"] for i, t in rows if (c := quality.clean(t))["kept"]}
     yield dict(kept)
-    fps = {i: brute_fingerprint(t) for i, t in kept.items()}
-    group = {i: i for i in kept}
-    while True:
-        after = {i: min(group[j] for j in kept if (fps[i] ^ fps[j]).bit_count() <= 3) for i in kept}
-        if after == group:
-            break
-        group = after
-    kept = {i: t for i, t in kept.items() if group[i] == i}
+    stays = brute_kept(kept)
+    kept = {i: t for i, t in kept.items() if i in stays}
     yield dict(kept)
     cut = {int(i): raw for i, _, _, _, _, raw in brute_cut(kept.items())}
     yield {i: cut[i].decode("utf-8", "ignore") for i in kept}
@@ -47,10 +43,25 @@ def test_stages(spark, library):  # noqa: F811
 
 
 def test_odd_tables(spark):
-    rows = [(i if i % 7 else None, t, None, None, None) for i, t in enumerate(TEXTS + TEXTS)] + [(3, TEXTS[12], "en", "s", 1)] * 2
-    for table in (spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, table, SF).count() >= 0
+    """Null ids and texts, repeated rows, columns that stages use themselves; and an empty table."""
+    good = "\n".join(f"Sentence{i} of{i} plain{i} text{i}, and{i} it{i} ends{i} well." for i in range(12))
+    rows = [(i if i % 7 else None, t, None, None, None) for i, t in enumerate(TEXTS + TEXTS)] + [(3, good, "en", "s", 1)] * 2 + [(90, good + "\nHome | About | Contact", None, "s", 1), (None, good, None, "t", 2)]
+    clash = ("kept", "n_words", "cleaned", "_key", "_spans", "n_removed", "fp")
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(f"own {c}") for c in clash})
+    (_, quality_stage), (_, simhash_stage), (_, suffix_stage), (_, packing_stage) = corpus_pipeline.STAGES
+    cleaned = quality_stage(spark, docs, SF)
+    assert cleaned.columns == docs.columns
+    got = cleaned.filter(F.col("text").startswith("Sentence0")).collect()
+    assert sorted((r.doc_id or -1, r.text, r.kept, r.n_words) for r in got) == [(-1, good, "own kept", "own n_words"), *[(3, good, "own kept", "own n_words")] * 2, (90, good, "own kept", "own n_words")]
+    one = simhash_stage(spark, cleaned, SF)
+    assert sorted((r.doc_id or -1) for r in one.filter(F.col("text").startswith("Sentence0")).collect()) == [-1, 3]
+    cut = suffix_stage(spark, one, SF)
+    assert cut.columns == docs.columns
+    assert {(r.doc_id, r.text, r._key, r.n_removed) for r in cut.filter("lang = 's' or source in ('s', 't')").collect()} == {(None, good, "own _key", "own n_removed"), (3, "", "own _key", "own n_removed")}
+    packed = packing_stage(spark, cut, SF)
+    assert packed.select("doc_id").distinct().count() == cut.select("doc_id").distinct().count()
+    empty = spark.createDataFrame([], SCHEMA)
+    assert [stage(spark, empty, SF).count() for _, stage in corpus_pipeline.STAGES] == [0, 0, 0, 0]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
