@@ -1,4 +1,4 @@
-"""Text measures and normalisers as column expressions."""
+"""Text measures and normalisers as column expressions."""
 
 from __future__ import annotations
 

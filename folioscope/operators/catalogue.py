@@ -1,4 +1,4 @@
-"""Catalogue upkeep and the chat store (J6, J16, J17, W9, W14, U2-U5, A28, DB1-DB4, DB22-DB26)."""
+"""Catalogue upkeep and the chat store (J6, J16, J17, W9, W14, U2, U4, A28, DB1, DB3, DB4, DB22-DB24, DB26)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""The entity graph."""
+"""The entity graph."""
 
 from __future__ import annotations
 

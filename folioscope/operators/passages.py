@@ -1,4 +1,4 @@
-"""Passage ranking, selection, digests and retrieval evaluation."""
+"""Passage ranking, selection, digests and retrieval evaluation (L1, L2 without the top-up, B2-B5, E1)."""
 
 from __future__ import annotations
 

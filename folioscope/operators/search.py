@@ -1,4 +1,4 @@
-"""Vector search and what is folded from it."""
+"""Vector search and what is folded from it."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Similarity of titles and reading orders (J20, J21, T18, T24, T25, DB10, DB11)."""
+"""Similarity of titles and reading orders: J20 as Jaccard of distinct words, J21, T24, T25, DB11."""
 
 from __future__ import annotations
 

@@ -132,9 +132,9 @@ _ID = "concat('doc-', md5(cast(doc_id as varchar(20))), '-chunk-', case doc_id %
 
 
 @query(f"""with i as (select {_ID} as chunk_id from documents), m as (select chunk_id, regexp_extract(chunk_id, '^doc-([0-9a-f]{{32}})-chunk-([0-9]+)$', ['h', 'n']) as m from i)
-select chunk_id, m.h as doc_hash, try_cast(nullif(m.n, '') as int) as number, m.n <> '' and 'doc-' || m.h || '-chunk-' || lpad(cast(cast(nullif(m.n, '') as int) as varchar), cast(greatest(3, length(cast(cast(nullif(m.n, '') as int) as varchar))) as int), '0') = chunk_id as round_trip from m""")
+select chunk_id, m.h as doc_hash, coalesce(try_cast(nullif(m.n, '') as int), -1) as number, m.n <> '' and 'doc-' || m.h || '-chunk-' || lpad(cast(cast(nullif(m.n, '') as int) as varchar), cast(greatest(3, length(cast(cast(nullif(m.n, '') as int) as varchar))) as int), '0') = chunk_id as round_trip from m""")
 def chunk_id_parts(spark, sf_dir):
-    return lookups.chunk_id_parts(table(spark, sf_dir, "documents").select(F.expr(_ID).alias("chunk_id")))
+    return lookups.chunk_id_parts(table(spark, sf_dir, "documents").select(F.expr(_ID).alias("chunk_id"))).withColumn("number", F.coalesce("number", F.lit(-1)))
 
 
 def _index(spark, sf_dir):

@@ -1,4 +1,4 @@
-"""Readers and writers of the library's files."""
+"""Readers and writers of the library's files."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Structured Streaming counterparts of ingest and presence (ST1, ST3, ST5, ST6), and event-time windows."""
+"""Structured Streaming counterparts of ingest and presence (ST1, ST5, ST6), and event-time windows."""
 
 from __future__ import annotations
 
