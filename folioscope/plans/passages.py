@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ hits as (select doc_id, chunk, source, len(t) as len, term, len(list_filter(t, l
 scored as (select doc_id, chunk, source, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) as score from hits join df using (term), facts group by 1, 2, 3) """
 
 
+#: Chunks of retrieval_scores: characters, distance of their starts, and how many are retrieved for an item.
+CHUNK_CHARS, CHUNK_STEP, TOP_CHUNKS = 1000, 800, 10
+
+
 @query(_BM25 + "select doc_id, cast(chunk as int) as chunk, round(score, 6) as score from scored")
 def bm25(spark, sf_dir):
     return passages.bm25(text_chunks(spark, sf_dir), _Q, ["doc_id", "chunk"]).withColumn("score", F.round("score", 6))
@@ -53,11 +58,19 @@ def digest_merge(spark, sf_dir):
 
 @query()
 def retrieval_scores(spark, sf_dir):
-    """Benchmark passages found in documents (golden) against the document's first 2000 characters (retrieved)."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = docs.select("doc_id", "text").join(F.broadcast(items.select("item_id", F.col("text").alias("t"))), F.contains("text", F.col("t")))
-    gold = found.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("doc"), F.expr("instr(text, t)").alias("s"), F.length("t").alias("n")).withColumn("e", F.col("s") + F.col("n")).drop("n")
-    got = found.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("doc"), F.lit(0).alias("s"), F.lit(2000).alias("e"))
+    """How well chunks of 1000 characters, ranked for each benchmark item by the runs of four words that they share with it, cover all its occurrences in whole texts."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
+    held = located_quotes(spark, sf_dir).join(docs, "doc_id").join(items, "item_id")
+    between = F.transform(F.expr("split(text, concat('\\\\Q', t, '\\\\E'), -1)"), lambda x: F.length(x))  # lengths of what lies around the occurrences
+    starts = F.transform(F.sequence(F.lit(1), F.size(between) - 1), lambda i: F.aggregate(F.slice(between, F.lit(1), i), F.lit(0), lambda n, x: n + x) + (i - 1) * F.length("t"))
+    gold = held.select(F.col("item_id").alias("qid"), F.col("doc_id").alias("doc"), F.length("t").alias("n"), F.explode(starts).alias("s")).select("qid", "doc", "s", (F.col("s") + F.col("n")).alias("e"))
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 3), lambda i: F.array_join(F.slice(c, i, 4), " ")))
+    asked = items.withColumn("w", F.split("t", " ")).filter("size(w) > 3").select("item_id", F.explode(runs(F.col("w"))).alias("k"))
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(CHUNK_STEP))).alias("s")
+    chunks = docs.filter("text is not null").select("doc_id", at, "text").withColumn("w", F.split(F.expr(f"substring(text, s + 1, {CHUNK_CHARS})"), " ")).filter("size(w) > 3")
+    shared = chunks.select("doc_id", "s", F.explode(runs(F.col("w"))).alias("k")).join(asked, "k").groupBy("item_id", "doc_id", "s").agg(F.count("*").alias("score"))
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "s")
+    got = shared.withColumn("r", F.row_number().over(best)).filter(f"r <= {TOP_CHUNKS}").select(F.col("item_id").alias("qid"), F.col("doc_id").alias("doc"), "s", (F.col("s") + CHUNK_CHARS).alias("e"))
     return passages.retrieval_scores(gold, got)
 
 
