@@ -50,9 +50,9 @@ def entity_detail(spark, sf_dir):
     return d.select(F.col("rank").cast("long").alias("rank"), "entity", "entity_type", "degree", "weight")
 
 
-@query(_WITH + """, t as (select name from idx order by degree desc, name limit 20) select least(src, dst) as a, greatest(src, dst) as b, sum(weight) as weight from edges where src in (from t) and dst in (from t) group by 1, 2""")
+@query(_WITH + """, t as (select name from idx order by degree desc, name limit 60) select least(src, dst) as a, greatest(src, dst) as b, sum(weight) as weight from edges where src in (from t) and dst in (from t) group by 1, 2""")
 def top_subgraph(spark, sf_dir):
-    return graph.top_subgraph(_index(spark, sf_dir), graph_edges(spark, sf_dir), 20)
+    return graph.top_subgraph(_index(spark, sf_dir), graph_edges(spark, sf_dir), 60)
 
 
 @query(_WITH + """, m as (select distinct l_orderkey as item, s_name as name from lineitem join supplier on l_suppkey = s_suppkey), s as (select item, sum(degree) as s from m join idx using (name) group by 1)

@@ -83,10 +83,14 @@ def pages_by_file(spark, sf_dir):
     return search.pages_by_file(v).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
-@query()
+_RANKED = "select a.id as i, b.id as j, row_number() over (partition by a.id order by list_cosine_similarity(a.e, b.e) desc, b.id) as r from {0} a join {0} b on a.id <> b.id qualify r <= 8"
+
+
+@query(f"""with v as (select vec_id as id, cast(embedding as double[]) as e from embeddings), w as (select id, list_transform(e, lambda x: floor(x * 16) / 16) as e from v),
+t as ({_RANKED.format('v')}), f as ({_RANKED.format('w')}) select t.i, round(count(f.j) / 8.0, 6) as recall from t left join f on t.i = f.i and t.j = f.j group by 1""")
 def nearest_recall(spark, sf_dir):
-    """How much of an eight-neighbour graph a four-neighbour graph holds, by chunk."""
+    """How much of each chunk's eight neighbours a store of rounded vectors finds."""
     v = vectors(spark, sf_dir)
-    truth = search.knn_graph(v, 8).select("i", "j")
-    found = search.knn_graph(v, 4).select("i", "j")
-    return search.recall(found, truth, "i", "j")
+    coarse = v.withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * 16) / 16))
+    truth, found = (search.knn_graph(x, 8).select("i", "j") for x in (v, coarse))
+    return search.recall(found, truth, "i", "j").withColumn("recall", F.round("recall", 6))
