@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import running
 from folioscope.operators.search import cosine, norm, vector_search
 
 
@@ -42,8 +43,8 @@ def cluster_terms(texts: DataFrame, top: int = 15, min_df: int = 2) -> DataFrame
     df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     n = texts.agg(F.countDistinct("cluster").alias("n"))
     weighted = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("cluster")))
-    ranked = weighted.withColumn("weight", F.col("x") / length).withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "term")))
+    lengths = F.broadcast(weighted.groupBy("cluster").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length")))  # a row a cluster
+    ranked = weighted.join(lengths, "cluster").withColumn("weight", F.col("x") / F.col("length")).withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "term")))
     return ranked.filter(F.col("rank") <= top).select("cluster", "rank", "term", "weight")
 
 
@@ -126,13 +127,16 @@ def arithmetic(chunks: DataFrame, plus: list[int], minus: list[int], k: int = 8,
 def date_ramp(rows: DataFrame, date: str, split: float = 1990, band: float = 0.1) -> DataFrame:
     """rows with ramp: the share of earlier dates, those before ``split`` within the first ``band``."""
     old = F.col(date) < split
-    own = Window.partitionBy(old)
-    rank = (F.rank().over(own.orderBy(date)) - 1) / F.count("*").over(own)
-    return rows.withColumn("ramp", F.when(old, band * rank).otherwise(band + (1 - band) * rank))
+    before = running(rows.filter(F.col(date).isNotNull()).groupBy(date).agg(F.count("*").alias("_c")), [F.col(date)], _before=F.col("_c"))
+    n = F.broadcast(before.agg(*(F.coalesce(F.sum(F.when(c, F.col("_c"))), F.lit(0)).alias(name) for name, c in (("_old", old), ("_new", ~old)))))  # one row
+    early, late = F.col("_before") / F.nullif("_old", F.lit(0)), (F.col("_before") - F.col("_old")) / F.nullif("_new", F.lit(0))
+    ramps = before.crossJoin(n).select(date, F.when(old, band * early).otherwise(band + (1 - band) * late).alias("ramp"))
+    return rows.join(ramps, date, "left")
 
 
 def knots(rows: DataFrame, value: str, n: int = 14) -> DataFrame:
     """i, knot: n values at even ranks, from the least to the greatest."""
-    at = [i / (n - 1) for i in range(n)]
-    found = rows.agg(F.percentile_approx(value, at, 1_000_000).alias("k"))
-    return found.select(F.posexplode("k").alias("i", "knot"))
+    before = running(rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")), [F.col(value)], _before=F.col("_c"))
+    places = before.agg(F.sum("_c").alias("_n")).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (n - 1)))).alias("i", "_at"))
+    met = before.join(F.broadcast(places), F.col("_at").between(F.col("_before"), F.col("_before") + F.col("_c") - 1))  # ``n`` rows
+    return met.select("i", F.col(value).alias("knot"))

@@ -117,5 +117,5 @@ def intake(incoming: DataFrame, store: DataFrame, *keep: str) -> DataFrame:
 def merge_pinned(hits: DataFrame, k: int) -> DataFrame:
     """The ``k`` best passages of each pinned file, files numbered by first appearance: file_path, reference_id, chunk_id, score."""
     best = hits.withColumn("_r", F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("_r") <= k)
-    numbered = best.groupBy("file_path").agg(F.min("chunk_id").alias("_c")).withColumn("reference_id", F.row_number().over(Window.orderBy("_c")))
+    numbered = best.groupBy("file_path").agg(F.min("chunk_id").alias("_c")).withColumn("reference_id", F.row_number().over(Window.orderBy("_c")))  # 2 to 8 pinned files
     return best.join(F.broadcast(numbered.drop("_c")), "file_path").select("file_path", "reference_id", "chunk_id", "score")

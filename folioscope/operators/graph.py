@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import numbered
+
 SEP, TRUNCATED = "<SEP>", "...truncated..."
 
 
@@ -63,7 +65,7 @@ def ranked(index: DataFrame, q: str) -> DataFrame:
     name = flat("name")
     tier = F.lit(3) if not needle else F.when(name == needle, 0).when(F.startswith(name, F.lit(needle)), 1).otherwise(2)
     hits = index.filter(F.contains(name, F.lit(needle))).withColumn("tier", tier)
-    return hits.withColumn("rank", F.row_number().over(Window.orderBy("tier", F.desc("degree"), F.lower("name"), "name")))
+    return numbered(hits, [F.col("tier"), F.desc("degree"), F.lower("name"), F.col("name")])
 
 
 def by_file(index: DataFrame, top: int = 8) -> DataFrame:
@@ -77,8 +79,9 @@ def detail(index: DataFrame, edges: DataFrame, name: str, limit: int = 60) -> Da
     """An entity's relations, strongest first: rank, entity, entity_type, degree, weight."""
     mine = both_ways(edges).filter(F.col("name") == name).select(F.col("other").alias("entity"), "weight")
     known = mine.join(index.select(F.col("name").alias("entity"), kind().alias("entity_type"), "degree"), "entity")
-    order = Window.orderBy(F.desc("weight"), F.desc("degree"), F.lower("entity"))
-    return known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    order = [F.desc("weight"), F.desc("degree"), F.lower("entity")]
+    first = known.orderBy(*order).limit(limit)  # so the window below has ``limit`` rows
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def top_subgraph(index: DataFrame, edges: DataFrame, top: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import running
+
 
 def first_k(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
@@ -42,9 +44,12 @@ def profile(papers: DataFrame, family: str, k: int = 14) -> DataFrame:
 
 def temperature(guesses: DataFrame, target: str, sim: str) -> DataFrame:
     """guesses with temperature: how near each is among all of its target's, 0 to 99, by rank of similarity."""
-    own = Window.partitionBy(target)
-    above, n = F.rank().over(own.orderBy(F.desc(sim))) - 1, F.count("*").over(own)
-    return guesses.withColumn("temperature", F.round(F.pow(1 - above / n, F.lit(2.2)) * 990) / 10)
+    counts = guesses.groupBy(target, sim).agg(F.count("*").alias("_c"))
+    before = running(counts, [F.col(target), F.desc(sim)], _before=F.col("_c"))
+    own = F.broadcast(before.groupBy(target).agg(F.min("_before").alias("_first"), F.sum("_c").alias("_n")))  # a row a target
+    above = (F.col("_before") - F.col("_first")) / F.col("_n")
+    warm = before.join(own, target).select(target, sim, (F.round(F.pow(1 - above, F.lit(2.2)) * 990) / 10).alias("temperature"))
+    return guesses.join(warm, [target, sim])
 
 
 def new_neighbours(recent: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.catalogue import first_by
+from folioscope.operators.ranks import running
 
 
 def in_order(rows: DataFrame, key: str, wanted: list) -> DataFrame:
@@ -62,10 +63,10 @@ def summary_candidates(cards: DataFrame, sep: str = "<SEP>", fragments: int = 8,
 def nearest_rank(values: DataFrame, value: str, percents: list[int]) -> DataFrame:
     """One row: p<percent> is the value at place min(n - 1, floor(percent / 100 * n)) of all in order, and greatest.
 
-    Equal values are counted first, so what is ordered in one place is distinct values.
+    Equal values are counted first, so what is ordered is distinct values.
     """
     counts = values.groupBy(value).agg(F.count("*").alias("_c"))
-    up_to = counts.withColumn("_to", F.sum("_c").over(Window.orderBy(value))).crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))
+    up_to = running(counts, [F.col(value)], _to=F.col("_c")).withColumn("_to", F.col("_to") + F.col("_c")).crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))
     place = lambda p: F.least(F.col("_n") - 1, F.floor(F.col("_n") * p / 100))
     return up_to.agg(*(F.min(F.when(F.col("_to") > place(p), F.col(value))).alias(f"p{p}") for p in percents), F.max(value).alias("greatest"))
 

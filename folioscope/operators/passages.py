@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import numbered, running
+
 #: Words that do not count in queries and passages: fixed values.
 STOPWORDS = (
     "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be",
@@ -50,11 +52,12 @@ def bm25(passages: DataFrame, q: str, keys: list[str], k1: float = 1.5, b: float
 def select_within_budget(ranked: DataFrame, group: str, tokens_column: str, budget: int, floor: int = 2) -> DataFrame:
     """Passages by rank while the tokens before them are under budget, and each group's first ``floor``.
 
-    ranked: rank, group, tokens; the running sum is over one query's ranked passages.
+    ranked: rank, group, tokens.
     """
-    before = F.coalesce(F.sum(tokens_column).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("rank"))
-    return ranked.withColumn("before", before).withColumn("nth", nth).filter((F.col("before") < budget) | (F.col("nth") <= floor))
+    summed = running(ranked, [F.col("rank")], before=F.col(tokens_column))
+    firsts = F.row_number().over(Window.partitionBy(group).orderBy("rank"))
+    heads = summed.withColumn("nth", firsts).filter(F.col("nth") <= floor).drop("nth")  # a group limit: hot groups are cut before the shuffle
+    return summed.filter(F.col("before") < budget).unionByName(heads.filter(F.col("before") >= budget))
 
 
 def buckets(frm: str, to: str) -> list[tuple[str, str, str]]:
@@ -84,7 +87,7 @@ def merge_buckets(hits: DataFrame) -> DataFrame:
     """Each file in the bucket of its best score (the earliest of equals); files numbered by bucket, then score: file_path, bucket, score, reference_id."""
     best = hits.groupBy("file_path", "bucket").agg(F.max("score").alias("score"))
     first = best.withColumn("r", F.row_number().over(Window.partitionBy("file_path").orderBy(F.desc("score"), "bucket"))).filter("r = 1").drop("r")
-    return first.withColumn("reference_id", F.row_number().over(Window.orderBy("bucket", F.desc("score"), "file_path")))
+    return numbered(first, [F.col("bucket"), F.desc("score"), F.col("file_path")], "reference_id")
 
 
 def union_spans(spans: DataFrame, keys: list[str]) -> DataFrame:

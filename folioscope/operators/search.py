@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,7 @@ def reference_ids(hits: DataFrame) -> DataFrame:
 
 def centroids(chunks: DataFrame, group: str = "file_path") -> DataFrame:
     """The mean of each group's vectors over its length (+ 1e-9): group, centroid."""
-    parts = chunks.select(group, F.posexplode("embedding").alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"))
-    means = parts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("v")).select(group, F.col("v.m").alias("mean"))
+    means = chunks.groupBy(group).agg(vector_to_array(Summarizer.mean(array_to_vector("embedding"))).alias("mean"))  # partial sums where rows are read
     return means.select(group, F.transform("mean", lambda x: x / (norm("mean") + 1e-9)).alias("centroid"))
 
 

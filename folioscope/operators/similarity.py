@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranks import running
+
 
 def title_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
@@ -52,8 +54,8 @@ def reading_order(texts: DataFrame, key: str, a: str, b: str, k: int = 12, least
 def auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """The area under the curve of a score: one row, by rank sums over distinct scores, ties counting half."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("p")).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = by.withColumn("wins", F.col("p") * (below + (F.col("n") - F.col("p")) / 2))
+    below = running(by, [F.col("s")], below=F.col("n") - F.col("p"))
+    part = below.withColumn("wins", F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
     return part.agg((F.sum("wins") / F.nullif(F.sum("p") * F.sum(F.col("n") - F.col("p")), F.lit(0))).alias("auc"))
 
 

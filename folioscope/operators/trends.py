@@ -44,7 +44,7 @@ def capped(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("dim", "key").agg(F.sum("n").alias("total"), F.min("first_seq").alias("fs"))
     ranked = totals.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("total"), "fs", "key")))
     cap = F.create_map(*[F.lit(x) for pair in CAPS.items() for x in pair])
-    top = ranked.filter(F.col("rank") <= cap[F.col("dim")]).drop("fs")  # at most the sum of CAPS rows
+    top = ranked.filter(F.col("rank") <= max(CAPS.values())).filter(F.col("rank") <= cap[F.col("dim")]).drop("fs")  # at most the sum of CAPS rows
     return counts.join(F.broadcast(top), ["dim", "key"])
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import passages
+from folioscope.operators.ranks import numbered
 from folioscope.plans.base import query
 from folioscope.sources.views import table, text_chunks
 
@@ -28,14 +27,14 @@ def bm25(spark, sf_dir):
     return passages.bm25(text_chunks(spark, sf_dir), _Q, ["doc_id", "chunk"]).withColumn("score", F.round("score", 6))
 
 
-@query(_BM25 + """, top as (select *, row_number() over (order by round(score, 6) desc, doc_id, chunk) as rank from scored order by rank limit 200), s as (select r.*, cast(ceil(length(content) / 4) as bigint) as tokens from top r join chunks c on c.doc_id = r.doc_id and c.chunk = r.chunk),
+@query(_BM25 + """, top as (select *, row_number() over (order by round(score, 6) desc, doc_id, chunk) as rank from scored), s as (select r.*, cast(ceil(length(content) / 4) as bigint) as tokens from top r join chunks c on c.doc_id = r.doc_id and c.chunk = r.chunk),
 b as (select *, coalesce(sum(tokens) over (order by rank rows between unbounded preceding and 1 preceding), 0) as before, row_number() over (partition by source order by rank) as nth from s)
 select doc_id, cast(chunk as int) as chunk, rank, tokens from b where before < 3000 or nth <= 2""")
 def passages_within_budget(spark, sf_dir):
-    """The best passages of a query, as far as 3000 tokens go, and two of each source; its SQL has only the 200 best."""
+    """The best passages of a query, as far as 3000 tokens go, and two of each source."""
     chunks = text_chunks(spark, sf_dir)
     scored = passages.bm25(chunks, _Q, ["doc_id", "chunk"]).withColumn("score", F.round("score", 6))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "chunk")).cast("long"))
+    ranked = numbered(scored, [F.desc("score"), F.col("doc_id"), F.col("chunk")])
     sized = ranked.join(chunks.select("doc_id", "chunk", "source", F.ceil(F.length("content") / 4).alias("tokens")), ["doc_id", "chunk"])
     return passages.select_within_budget(sized, "source", "tokens", 3000).select("doc_id", "chunk", "rank", "tokens")
 
