@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import graphs, impact, lookups, maps, papers, passages, records, store, texts, trends, upkeep, vectors  # noqa: F401  each adds its queries
+from folioscope.plans import graphs, impact, lookups, maps, papers, passages, records, store, texts, trends, upkeep, vectors, ways  # noqa: F401  each adds its queries
 from folioscope.plans.base import QUERIES, SQL, Query
 
 
