@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import ann, bpe, chat, lm, packing, quality, sharding, simhash, suffix_dedup, token_store
+from folioscope.llm import ann, bpe, chat, decontaminate, lm, manifest, negatives, packing, quality, sharding, simhash, suffix_dedup, token_store
 from folioscope.llm.common import new_path, table, utf8_bytes
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -71,8 +71,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampering = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), columns, "doc_id", "source", {"text": manifest.lower_az(F.col("text"))}, tampering)
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_packing, op5_ann, op6_lm, op7_suffix_dedup, op8_sharding, op9_token_store, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_simhash, op3_quality, op4_packing, op5_ann, op6_lm, op7_suffix_dedup, op8_sharding, op9_token_store, op10_bpe, op11_negatives, op12_manifest, op13_decontaminate)}
 
 
 def _escaped_chars(column: str) -> str:
@@ -114,5 +132,74 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """.replace("BOILERPLATE", quality.BOILERPLATE)
 
 
+OP11_SQL = """
+with e as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+met as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+    from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+),
+positives as (select anchor_id, vec_id as positive_id, score from met where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.anchor_id, p.positive_id order by m.score desc, m.vec_id) as integer) as rank,
+    m.vec_id as negative_id, p.score as positive_score, m.score as negative_score
+from positives p join met m on m.anchor_id = p.anchor_id and not m.same and 30 * p.score <= 100 * m.score and 100 * m.score <= 90 * p.score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by m.score desc, m.vec_id) <= 10
+"""
+
+
+#: crc32 of decimal ids, bit by bit.
+_CRC = "list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda c, b: list_reduce(list_prepend(xor(c, b), cast([0, 0, 0, 0, 0, 0, 0, 0] as bigint[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+_CHECKED = f"checked as (select *, xor({_CRC}, 4294967295) as crc from documents)"
+
+
+def _merkle_sql(levels: int = 5) -> str:
+    """The manifest level by level, each group of 16 nodes at a time; enough for 16 ** levels leaves a source and as many sources."""
+    value = lambda c: f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(value, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = []
+
+    def climb(name: str, group: str, n: int) -> None:
+        for i in range(n):  # every node of a run has the hashes of the whole run, then its siblings are what is not itself
+            steps.append(f"""{name}_run{i} as (select {group}, p // 16 as run, list(h order by p) as hs, count(*) as n from {name}{i} group by all)""")
+            steps.append(f"""{name}_sum{i} as (select *, count(*) over (partition by {group}) > 1 or n > 1 as grows from {name}_run{i})""")
+            steps.append(f"""{name}{i + 1} as (select {group}, run as p, case when grows then sha256(array_to_string(hs, '')) else hs[1] end as h from {name}_sum{i})""")
+
+    steps.append(f"""d as (select doc_id, source, {leaf('text')} as leaf, case when crc % 5 = 0 then {leaf(lower)} else {leaf('text')} end as altered from checked)""")
+    steps.append("leaves as (select *, row_number() over (partition by source order by doc_id) - 1 as p from d)")
+    steps.append("a0 as (select source, p, leaf as h from leaves)")
+    climb("a", "source", levels)
+    steps.append(f"subs as (select source, h as subroot, row_number() over (order by source nulls first) - 1 as sp from a{levels})")
+    steps.append("b0 as (select 0 as one, sp as p, subroot as h from subs)")
+    climb("b", "one", levels)
+    before, proof = "l", []
+    steps.append("f0 as (select l.doc_id, l.source, l.p, s.sp, s.subroot, l.leaf, l.altered as h, '' as proof from leaves l join subs s on l.source is not distinct from s.source)")
+    at = 0
+    for name, place, on in (("a", "p", "f.source is not distinct from r.source and"), ("b", "sp", "")):
+        for i in range(levels):
+            left, right = f"array_to_string(hs[:f.{place} % 16], '')", f"array_to_string(hs[f.{place} % 16 + 2:], '')"
+            steps.append(f"""f{at + 1} as (select doc_id, f.source, {'p // 16 as p, sp' if place == 'p' else 'p, sp // 16 as sp'}, subroot, leaf,
+                case when grows then sha256({left} || h || {right}) else h end as h, case when grows then proof || {left} || {right} else proof end as proof
+                from f{at} f join {name}_sum{i} r on {on} r.run = f.{place} // 16)""")
+            at += 1
+    return "with " + ",\n".join([_CHECKED, *steps]) + f"""
+    select doc_id, leaf, subroot, b.h as root, sha256(proof) as proof_sha256, f.h as folded_root, f.h = b.h as verified from f{at} f, b{levels} b"""
+
+
+_OWN_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+with b as (select item_id, {_OWN_WORDS} as w from benchmark where text is not null), d as (select row_number() over () as r, doc_id, coalesce({_OWN_WORDS}, []) as w from documents),
+strings as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i:i + 9], ' ') as s from (select *, unnest(generate_series(1, greatest(1, len(w) - 9))) as i from b where len(w) > 0)),
+sizes as (select distinct n from strings), ats as (select r, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, sizes where len(w) >= n),
+met as (select r, i, n, array_to_string(w[i:i + n - 1], ' ') as s from ats semi join strings on strings.n = ats.n and strings.s = array_to_string(w[i:i + ats.n - 1], ' ')),
+hits as (select r, count(distinct x) as n_hit from (select r, unnest(generate_series(i, i + n - 1)) as x from met) group by r),
+items as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from met join strings using (n, s) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (r) left join items using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op3_quality": OP3_SQL}
+    return {"op1_chat": OP1_SQL, "op3_quality": OP3_SQL, "op11_negatives": OP11_SQL, "op12_manifest": _merkle_sql(), "op13_decontaminate": OP13_SQL}
