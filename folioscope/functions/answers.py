@@ -72,18 +72,19 @@ def locate(quotes: DataFrame, pages: DataFrame, tiers: tuple[int, ...] = (14, 10
     """quotes (quote_id, doc, quote) on pages (doc, page, words: normalised): quote_id, page, at, n_words.
 
     A quote's first words, as many as the longest tier that matches, are looked up among the pages' runs of as many
-    words; of equals the first page and place. Quotes of fewer than three words are not sought.
+    words; of equals the hinted page (a column hint_page), then the first page and place. Quotes of fewer than three words are not sought.
     """
-    asked = quotes.select("quote_id", "doc", norm_words(F.col("quote")).alias("q")).filter(F.size("q") >= min(tiers))
+    hint = F.col("hint_page") if "hint_page" in quotes.columns else F.lit(None)
+    asked = quotes.select("quote_id", "doc", hint.alias("_hint"), norm_words(F.col("quote")).alias("q")).filter(F.size("q") >= min(tiers))
     out = None
     for n in tiers:
-        want = asked.filter(F.size("q") >= n).select("quote_id", "doc", F.array_join(F.slice("q", 1, n), " ").alias("k"))
+        want = asked.filter(F.size("q") >= n).select("quote_id", "doc", "_hint", F.array_join(F.slice("q", 1, n), " ").alias("k"))
         at = F.sequence(F.lit(1), F.size("words") - n + 1)
         runs = pages.filter(F.size("words") >= n).select("doc", "page", F.posexplode(F.transform(at, _run_of(n))).alias("at", "k"))
-        hits = want.join(runs, ["doc", "k"]).select("quote_id", "page", "at", F.lit(n).alias("n_words"))
+        hits = want.join(runs, ["doc", "k"]).select("quote_id", "page", "at", F.lit(n).alias("n_words"), F.when(F.col("page") == F.col("_hint"), 0).otherwise(1).alias("_far"))
         out = hits if out is None else out.unionByName(hits)
-    best = Window.partitionBy("quote_id").orderBy(F.desc("n_words"), "page", "at")
-    return out.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+    best = Window.partitionBy("quote_id").orderBy(F.desc("n_words"), "_far", "page", "at")
+    return out.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "_far")
 
 
 def _run_of(n: int):

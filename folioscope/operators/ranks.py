@@ -18,6 +18,12 @@ def kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """kept(), for rounds: without the sizes that the plan estimated, which a checkpoint inherits and each round's joins would multiply."""
+    held, spark = kept(rows), SparkSession.active()
+    return DataFrame(spark._jsparkSession.createDataFrame(held._jdf.toJavaRDD(), held._jdf.schema()), spark)
+
+
 def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     """rows with, for each name in ``sums``, the sum of its expression over all rows before them in ``order`` (0 for the first).
 

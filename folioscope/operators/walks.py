@@ -1,4 +1,4 @@
-"""Ways over the map: geodesics, stations, peaks, temperature bands (V7, V10, the peaks of K8, T50)."""
+"""Ways over the map: geodesics, stations, random walks, peaks, temperature bands (V7, V9, V10, the peaks of K8, T50)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.atlas import slerp
+from folioscope.operators.ranks import settled
 from folioscope.operators.search import cosine, norm
 
 #: Upper ends of the bands of a temperature: fixed values.
@@ -61,6 +62,48 @@ def signals(points: DataFrame, centre: DataFrame, hits: DataFrame, sigma: float
     return heard.select("chunk_id", F.when(near.isNull(), 0.0).otherwise(F.least(F.lit(1.0), 0.62 * near + 0.5 * F.coalesce("weight", F.lit(0.0)))).alias("signal"))
 
 
+#: What a walk's step weighs, fixed values: likeness, staying, going back, having been there and how soon that is forgotten, progress, a hit, temperature.
+LIKENESS, STAY, BACK, SEEN, FORGET, PROGRESS, HIT, TEMPERATURE = 2.4, 4.0, 1.7, 1.25, 14.0, 2.7, 1.6, 0.5
+
+
+def walk(graph: DataFrame, starts: DataFrame, steps: int, draw: Column, station: tuple[DataFrame, DataFrame, DataFrame] | None = None, bias: float = 0.0) -> DataFrame:
+    """walk, step, node: random walks over a neighbour graph (i, rank, j, sim) from starts (walk, node), side by side.
+
+    Each step is drawn among the node's neighbours by a softmax of likeness less what was met before (the sooner, the
+    more) and, with a station (points, centre, hits as ``station`` takes and gives them), plus ``bias`` times the
+    progress towards it. ``draw``: a number from 0 to 1 for a walk and step. A walk without neighbours ends.
+    """
+    if station is None:
+        sides = graph.select("i", "rank", "j", "sim", F.lit(0.0).alias("gain"), F.lit(0.0).alias("hit"))
+    else:
+        points, centre, hits = station
+        at = F.broadcast(centre.select(F.col("x").alias("_x"), F.col("y").alias("_y")))  # one row
+        far = points.crossJoin(at).select(F.col("chunk_id").alias("j"), F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("d"))
+        near = graph.join(far, "j").join(far.select(F.col("j").alias("i"), F.col("d").alias("e")), "i").join(hits.select(F.col("chunk_id").alias("j"), F.col("weight").alias("hit")), "j", "left")
+        sides = near.select("i", "rank", "j", "sim", (F.col("e") - F.col("d")).alias("gain"), F.coalesce("hit", F.lit(0.0)).alias("hit"))
+    lists = settled(sides.groupBy(F.col("i").alias("node")).agg(F.sort_array(F.collect_list(F.struct("rank", "j", "sim", "gain", "hit"))).alias("near")))
+    widest = F.greatest(F.lit(1e-6), F.array_max(F.transform("near", lambda c: F.abs(c["gain"]))))
+
+    def worth(c: Column) -> Column:
+        met = F.array_position("trail", c["j"])  # the last first; 0: never
+        own = LIKENESS * c["sim"] - F.when(c["j"] == F.col("node"), STAY).otherwise(0.0) - F.when(c["j"] == F.col("previous"), BACK).otherwise(0.0)
+        own = own - F.when(met > 0, SEEN * F.exp(-(met - 1) / FORGET)).otherwise(0.0)
+        return (own + bias * PROGRESS * c["gain"] / widest + bias * HIT * c["hit"]) / TEMPERATURE
+
+    now = starts.select("walk", F.lit(0).alias("step"), "node", F.lit(None).cast("long").alias("previous"), F.array("node").alias("trail"))
+    out = now = settled(now)
+    for _ in range(steps):
+        weighed = now.join(lists, "node").withColumn("step", F.col("step") + 1).withColumn("w", F.transform("near", worth))
+        shares = weighed.withColumn("w", F.transform("w", lambda v: F.exp(v - F.array_max("w"))))
+        upto = F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.aggregate(F.slice("w", F.lit(1), n), F.lit(0.0), lambda a, x: a + x))
+        drawn = shares.withColumn("upto", upto).withColumn("r", draw * F.element_at("upto", -1))
+        chosen = F.least(F.size("near"), 1 + F.size(F.filter("upto", lambda x: x < F.col("r"))))
+        taken = drawn.select("walk", "step", F.element_at("near", chosen)["j"].alias("to"), "node", "trail")
+        now = settled(taken.select("walk", "step", F.col("to").alias("node"), F.col("node").alias("previous"), F.concat(F.array("to"), "trail").alias("trail")))
+        out = out.unionByName(now)
+    return out.select("walk", "step", "node")
+
+
 def peaks(heights: DataFrame, side: int, least: float = 0.12, radius: float = 0.105, cap: int = 22) -> DataFrame:
     """rank, gx, gy, v: cells inside the map no lower than their eight neighbours, highest first, none within ``radius`` of a higher one.
 
