@@ -102,3 +102,89 @@ def valid_excerpt(excerpt: Column, text: Column, least: int = 5, most: int = 120
     n = F.size(F.split(flat(excerpt), " "))
     return F.contains(flat(text), flat(excerpt)) & n.between(least, most)
 
+
+
+#: What ends in a full stop without ending a sentence, and what may stand before a citation in its brackets.
+_SHORT = ("al", "e.g", "i.e", "cf", "vs", "etc", "fig", "eq", "ref", "no", "p", "pp", "ch", "dr", "prof", "mr", "mrs", "ms", "st", "jr", "sr", "approx", "ca")
+_LEADS = r"see|cf\.?|e\.g\.?,?|supported by|sources?:?"
+_RUN = rf"{_BRACKETS}(?:[ \t]*[,;]?[ \t]*{_BRACKETS})*"
+_TRAILING = re.compile(rf"(?P<mark>[.!?])(?P<closed>[)\"'”’\]]*)[ \t]*(?P<run>{_RUN})")
+_LAST_WORD = re.compile(r"(?:^|[\s(])([A-Za-z.]+)$")
+_CITED = r"\([^()]*\b\d{4}[a-z]?\b[^()]*\)"
+_WRAPPED = re.compile(rf"\(\s*(?:{_LEADS})?\s*({_CITED})\s*\)", re.IGNORECASE)
+_TWICE = re.compile(rf"({_CITED})\s*\.?\s*\1")
+
+
+def cited_inside(text: str) -> str:
+    """Citations that follow a sentence's mark go before it, but not into a quotation nor behind an abbreviation."""
+
+    def moved(m: re.Match) -> str:
+        word = _LAST_WORD.search(text[: m.start()])
+        if m["closed"] or (m["mark"] == "." and word and word[1].lower() in _SHORT):
+            return m[0]
+        gap = " " if m.start() and not text[m.start() - 1].isspace() else ""
+        return gap + m["run"] + m["mark"]
+
+    return _TRAILING.sub(moved, text)
+
+
+def plainly_cited(text: str) -> str:
+    """Citations without a second pair of brackets and what leads into it, and once where one stands twice in a row."""
+    before = None
+    while before != text:
+        before, text = text, _WRAPPED.sub(r"\1", text)
+    return _TWICE.sub(r"\1", text)
+
+
+def in_text_citations(text: str, labels: dict[str, str]) -> str:
+    """rewrite() without its tidying of spaces: a cluster with a number that has no label stays as it is."""
+
+    def one(m: re.Match) -> str:
+        numbers = list(dict.fromkeys(re.findall(r"\d+", m[0])))
+        return f"({'; '.join(sorted((labels[x] for x in numbers), key=str.lower))})" if all(x in labels for x in numbers) else m[0]
+
+    return _CLUSTER.sub(one, text)
+
+
+def with_references(answers: DataFrame, references: DataFrame) -> DataFrame:
+    """answers (answer_id, answer) in APA style: answer_id, text, a list of references after it where it cites any.
+
+    references: answer_id, n, intext (without brackets), apa, pages (a label or blank), locator (or blank). Only those
+    cited are listed, by in-text label; each with the pages its passages are on, and where to find it.
+    """
+    line = F.concat(F.lit("- "), "apa", F.when(F.coalesce("pages", F.lit("")) != "", F.concat(F.lit(" ("), "pages", F.lit(")"))).otherwise(""), F.when(F.coalesce("locator", F.lit("")) != "", F.concat(F.lit(" — "), "locator")).otherwise(""))
+    bare = answers.select("answer_id", without_references(F.col("answer")).alias("body")).withColumn("cited", cited_ids(F.col("body")))
+    used = bare.select("answer_id", F.explode("cited").alias("n")).join(references, ["answer_id", "n"]).select("answer_id", "n", "intext", line.alias("line"))
+    entry = F.struct(F.lower("intext").alias("by"), "n", "intext", "line")
+    listed = used.groupBy("answer_id").agg(F.sort_array(F.collect_list(entry)).alias("refs"))  # as many as one answer cites
+    block = F.concat(F.lit("\n\n### References\n\n"), F.array_join(F.transform("refs", lambda r: r["line"]), "\n"))
+    labels = F.map_from_entries(F.transform("refs", lambda r: F.struct(r["n"].cast("string"), r["intext"])))
+    joined = bare.join(listed, "answer_id", "left").select("answer_id", "body", labels.alias("labels"), F.coalesce(block, F.lit("")).alias("block"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [plainly_cited(in_text_citations(cited_inside(t or ""), dict(m if m is not None else {}))) for t, m in zip(b["body"], b["labels"], strict=True)]
+            yield pd.DataFrame({"answer_id": b["answer_id"], "text": [t.rstrip() + block if block else t for t, block in zip(texts, b["block"], strict=True)]})
+
+    kind = answers.schema["answer_id"].dataType.simpleString()
+    return joined.mapInPandas(run, f"answer_id {kind}, text string")
+
+
+def numbered_context(passages: DataFrame, by: str) -> DataFrame:
+    """by, context: each question's passages (by, pos, content; blank ones and those of null source left out) as one text, numbered one by one."""
+    fit = passages.filter((F.coalesce("content", F.lit("")) != "") & F.col("source").isNotNull())
+    listed = F.sort_array(F.collect_list(F.struct("pos", "content")))
+    lines = F.transform(listed, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["content"]))
+    head = "-----Sources (cite each supporting passage by its bracketed number)-----\n"
+    found = fit.groupBy(by).agg(F.array_join(lines, "\n\n").alias("body"))
+    return passages.select(by).distinct().join(found, by, "left").select(by, F.concat(F.lit(head), F.coalesce("body", F.lit("(no sources retrieved)"))).alias("context"))
+
+
+def referenced_context(references: DataFrame, passages: DataFrame, by: str) -> DataFrame:
+    """by, context: a list of each question's references (by, reference_id, file_path), then its passages (by, pos, reference_id, content), tagged with their reference."""
+    files = F.sort_array(F.collect_list(F.struct("reference_id", "file_path")))
+    listed = references.groupBy(by).agg(F.array_join(F.transform(files, lambda r: F.concat(F.lit("["), r["reference_id"].cast("string"), F.lit("] "), r["file_path"])), "\n").alias("files"))
+    own = F.sort_array(F.collect_list(F.struct("pos", "reference_id", "content")))
+    told = passages.filter(F.coalesce("content", F.lit("")) != "").groupBy(by).agg(F.array_join(F.transform(own, lambda x: F.concat(F.lit("["), F.coalesce(x["reference_id"].cast("string"), F.lit("")), F.lit("] "), x["content"])), "\n\n").alias("texts"))
+    whole = F.concat(F.lit("-----Reference Document List-----\n"), "files", F.lit("\n\n-----Document Chunks-----\n"), F.coalesce("texts", F.lit("")))
+    return listed.join(told, by, "left").select(by, whole.alias("context"))

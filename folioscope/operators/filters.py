@@ -191,3 +191,41 @@ def quick_match(q: str, haystack: list[Column]) -> Column:
     hay = F.array(*[F.lower(F.coalesce(h, F.lit(""))) for h in haystack])
     holds = lambda t: F.exists(hay, lambda h: F.contains(h, F.lit(t)))
     return all_of([holds(t) for t in q.strip().lower().split()])
+
+
+#: Dimensions of a filter that hold one year: of two filters the second's counts.
+_ONE_YEAR = ("year", "year_from", "year_to")
+
+
+def _family(author: Column) -> Column:
+    return F.lower(F.trim(F.split_part(author, F.lit(","), F.lit(1))))
+
+
+def narrowed(authors: Column) -> Column:
+    """Authors without the bare family names of those who are named in person: ``Zhang`` goes beside ``Zhang, Kechen``."""
+    special = lambda a: F.contains(a, F.lit(",")) & (F.trim(F.split_part(a, F.lit(","), F.lit(2))) != "")
+    people_named = F.transform(F.filter(authors, special), _family)
+    return F.filter(authors, lambda a: special(a) | ~F.array_contains(people_named, _family(a)))
+
+
+def merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Two filters of a row (columns by dimension) as one: lists united, trimmed, blanks dropped, authors narrowed; years in order; of single years the second's."""
+    out: dict[str, Column] = {}
+    for name in dict.fromkeys([*a, *b]):
+        sides = [side[name] for side in (a, b) if name in side]
+        if name in _ONE_YEAR:
+            out[name] = F.coalesce(*reversed(sides))
+        elif name == "years":
+            out[name] = F.array_sort(F.array_distinct(F.concat(*(F.coalesce(s, F.array().cast("array<int>")) for s in sides))))
+        else:
+            united = F.array_distinct(F.filter(F.transform(F.concat(*(F.coalesce(s, F.array().cast("array<string>")) for s in sides)), lambda x: F.trim(x)), lambda x: x != ""))
+            out[name] = narrowed(united) if name == "authors" else united
+    return out
+
+
+def without_dismissed(found: dict[str, Column], dismissed: list[str]) -> dict[str, Column]:
+    """A filter without the values whose key (``authors:caplan``, ``year_from:2020``) a user dismissed."""
+    keys = F.array(*(F.lit(d) for d in dismissed)) if dismissed else F.array().cast("array<string>")
+    key = lambda name, x: F.concat(F.lit(name + ":"), F.lower(x.cast("string")))
+    kept = {n: F.when(~F.array_contains(keys, key(n, c)), c) if n in _ONE_YEAR else F.filter(c, (lambda n: lambda x: ~F.array_contains(keys, key(n, x)))(n)) for n, c in found.items()}
+    return kept

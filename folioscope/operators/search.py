@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.filters import lower, record_year, stem
+from folioscope.operators.filters import date_end, lower, people, record_year, stem
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -34,10 +34,15 @@ def vector_search(chunks: DataFrame, query: DataFrame, k: int, within: DataFrame
 
 
 def rank_papers(hits: DataFrame) -> DataFrame:
-    """Hits (file_path, content, score, pos) folded to papers: best score, number of chunks, snippet of the last chunk that set or met the best."""
-    pos = F.col("pos")
-    best = F.max_by(F.substring(F.trim(F.coalesce("content", F.lit(""))), 1, 300), F.struct("score", "pos"))
-    folded = hits.filter(F.coalesce("file_path", F.lit("")) != "").groupBy("file_path").agg(F.round(F.max("score"), 4).alias("score"), F.count("*").alias("n_chunks"), best.alias("snippet"), F.min(pos).alias("first_pos"))
+    """Hits (file_path, content, score, pos) folded to papers: best score, number of chunks, snippet.
+
+    The snippet is of the last chunk that set or met the best score; where that is blank, of the first after it that is not.
+    """
+    own = Window.partitionBy("file_path")
+    said = F.substring(F.btrim(F.coalesce("content", F.lit("")), F.lit(" \t\n\r\f\x0b")), 1, 300)
+    known = hits.filter(F.coalesce("file_path", F.lit("")) != "").withColumn("_said", said).withColumn("_best", F.max(F.struct("score", "pos")).over(own))
+    later = F.min(F.when((F.col("pos") >= F.col("_best.pos")) & (F.col("_said") != ""), F.struct("pos", "_said")))["_said"]
+    folded = known.groupBy("file_path").agg(F.round(F.max("score"), 4).alias("score"), F.count("*").alias("n_chunks"), F.coalesce(later, F.lit("")).alias("snippet"), F.min("pos").alias("first_pos"))
     return folded.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_pos"))).drop("first_pos")
 
 
@@ -104,22 +109,58 @@ def recall(found: DataFrame, truth: DataFrame, by: str, item: str) -> DataFrame:
     return hit.groupBy(by).agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
+#: Fields of a listed paper: texts, and lists of them; a paper that lacks one has a blank or an empty list. Fixed values.
+SLIM_TEXTS = ("title", "year", "date", "date_precision", "container_title", "volume", "issue", "pages", "doi", "type", "publisher", "source")
+SLIM_LISTS = ("authors", "keywords", "subjects", "affiliations")
+
+
+def sort_key(papers: DataFrame, sort: str) -> Column:
+    """What papers are sorted by, null where a paper has no such thing; an unknown key is the year."""
+    first = F.try_element_at("authors", F.lit(1))["family"] if "authors" in papers.columns else F.col("family")
+    year = record_year(F.col("year"))
+    starts = F.when(F.coalesce("date", F.lit("")) != "", date_end(F.col("date"), False)).otherwise(year * 10000 + 101) if "date" in papers.columns else year
+    keys = {"title": F.nullif(lower("title"), F.lit("")), "first_author": F.nullif(lower(first), F.lit("")), "journal": F.nullif(lower("container_title"), F.lit("")), "date": starts}
+    return keys.get(sort, year)
+
+
 def list_papers(papers: DataFrame, sort: str = "year", descending: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
     """One page in order of a key, ties by filename in the key's direction; papers without the key last, by filename."""
-    keys = {"title": F.nullif(lower("title"), F.lit("")), "first_author": F.nullif(lower("family"), F.lit("")), "journal": F.nullif(lower("container_title"), F.lit("")), "date": F.coalesce("date", "year"), "year": record_year(F.col("year"))}
-    key = keys.get(sort, keys["year"])
-    named = papers.withColumn("_key", key)
+    named = papers.withColumn("_key", sort_key(papers, sort))
     name = F.when(F.col("_key").isNotNull(), F.col("filename"))
     order = [F.col("_key").desc_nulls_last(), name.desc()] if descending else [F.col("_key").asc_nulls_last(), name.asc()]
     return named.orderBy(*order, "filename").offset(max(0, offset)).limit(max(1, limit)).drop("_key")
 
 
+def slim(papers: DataFrame) -> DataFrame:
+    """filename and the slim fields of papers."""
+    have = set(papers.columns)
+    texts = [F.coalesce(F.col(c).cast("string") if c in have else F.lit(None).cast("string"), F.lit("")).alias(c) for c in SLIM_TEXTS]
+    lists = [F.coalesce(c, F.array().cast(papers.schema[c].dataType)).alias(c) if c in have else F.array().cast("array<string>").alias(c) for c in SLIM_LISTS]
+    return papers.select("filename", *texts, *lists)
+
+
+def paper_page(papers: DataFrame, sort: str = "year", descending: bool = True, offset: int = 0, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """How many papers there are to list (one row, total), and the slim rows of one page with their place in the whole list."""
+    listed = list_papers(papers, sort, descending, offset, limit)
+    key = sort_key(listed, sort)
+    name = F.when(key.isNotNull(), F.col("filename"))
+    order = [key.desc_nulls_last(), name.desc()] if descending else [key.asc_nulls_last(), name.asc()]
+    places = listed.select("filename", (F.row_number().over(Window.orderBy(*order, "filename")) + max(0, offset)).alias("place"))  # one page
+    return papers.agg(F.count("*").alias("total")), slim(listed).join(F.broadcast(places), "filename")
+
+
 def facets(papers: DataFrame) -> DataFrame:
-    """Distinct non-blank values by dimension, letter case kept: dimension, value, n."""
-    single = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in (("authors", "family"), ("journals", "container_title"), ("types", "type"), ("affiliations", "affiliation"))])
-    listed = lambda c: F.transform(c, lambda x: F.struct(F.lit(c).alias("dimension"), x.alias("value")))
-    many = [listed(c) for c in ("keywords", "subjects")]
-    each = papers.select(F.explode(F.concat(single, *many)).alias("x")).select("x.dimension", F.trim("x.value").alias("value")).filter("value != ''")
+    """Distinct non-blank values by dimension, letter case kept: dimension, value, n (papers that have it).
+
+    Authors are the families of ``people`` (authors and editors where there are such columns), affiliations a list or a single one.
+    """
+    single = {"journals": "container_title", "types": "type"}
+    lists = {"keywords": F.col("keywords"), "subjects": F.col("subjects"), "authors": F.transform(people(papers), lambda p: p["family"])}
+    lists["affiliations"] = F.col("affiliations") if "affiliations" in papers.columns else F.array("affiliation")
+    lists |= {d: F.array(c) for d, c in single.items()}
+    trimmed = {d: F.array_distinct(F.transform(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda x: F.trim(x))) for d, c in lists.items()}
+    named = [F.transform(c, (lambda d: lambda x: F.struct(F.lit(d).alias("dimension"), x.alias("value")))(d)) for d, c in trimmed.items()]
+    each = papers.select(F.explode(F.concat(*named)).alias("x")).select("x.*").filter("value != ''")
     return each.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 

@@ -12,24 +12,46 @@ from folioscope.operators.filters import record_year
 CAPS = {"keywords": 300, "subjects": 200, "journals": 200, "authors": 300, "affiliations": 200, "types": 20}
 
 
-def trend_year(year: Column) -> Column:
-    """The first four characters as a year from 1800 to 2100."""
-    y = F.expr("try_cast(substring(cast(year as string), 1, 4) as int)") if year is None else F.try_to_number(F.substring(year.cast("string"), 1, 4), F.lit("9999")).cast("int")
-    return F.when(y.between(1800, 2100), y)
+#: Years that count, and spans of the windows of a term's detail: fixed values.
+FIRST_YEAR, LAST_YEAR, SPAN = 1800, 2100, 10
+
+
+def trend_year(year: Column, issued: Column | None = None, date: Column | None = None) -> Column:
+    """The first of year, issued year and date whose first four characters are a year from 1800 to 2100."""
+
+    def of(c: Column) -> Column:
+        y = F.substring(c.cast("string"), 1, 4).try_cast("int")
+        return F.when(y.between(FIRST_YEAR, LAST_YEAR), y)
+
+    dated = None if date is None else F.when(date.rlike("^[0-9]{4}"), date)
+    return F.coalesce(*(of(c) for c in (year, issued, dated) if c is not None))
+
+
+def year_of(papers: DataFrame) -> Column:
+    """trend_year() of what a table of papers has; a date counts where there is an issued year beside it, as in records."""
+    whole = "issued_year" in papers.columns
+    return trend_year(F.col("year"), F.col("issued_year") if whole else None, F.col("date") if whole else None)
+
+
+def _terms(papers: DataFrame) -> dict[str, Column]:
+    """Each dimension's terms of a row, in order; of records, authors are a list of people and affiliations a list."""
+    have, listed = set(papers.columns), lambda c: F.coalesce(F.col(c), F.expr("cast(array() as array<string>)"))
+    authors = F.transform(F.coalesce("authors", F.expr("cast(array() as array<struct<family:string,given:string>>)")), lambda p: p["family"]) if "authors" in have else F.array("family")
+    affiliations = F.array_sort(F.array_distinct(listed("affiliations"))) if "affiliations" in have else F.array("affiliation")
+    dims = {"keywords": listed("keywords"), "subjects": listed("subjects"), "journals": F.array("container_title"), "authors": authors, "affiliations": affiliations, "types": F.array("type")}
+    return {d: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "") for d, c in dims.items()}
 
 
 def record_terms(papers: DataFrame) -> DataFrame:
     """seq, year, dim, term: each dated paper's terms in six dimensions."""
-    one = [F.array(F.struct(F.lit(d).alias("dim"), F.col(c).alias("term"))) for d, c in (("journals", "container_title"), ("authors", "family"), ("affiliations", "affiliation"), ("types", "type"))]
-    listed = lambda c: F.transform(c, lambda x: F.struct(F.lit(c).alias("dim"), x.alias("term")))
-    many = [listed(c) for c in ("keywords", "subjects")]
-    dated = papers.withColumn("year", trend_year(F.col("year"))).filter("year is not null")
-    return dated.select("seq", "year", F.explode(F.concat(*many, *one)).alias("x")).select("seq", "year", "x.dim", F.trim("x.term").alias("term")).filter("term != ''")
+    named = [F.transform(c, (lambda d: lambda x: F.struct(F.lit(d).alias("dim"), x.alias("term")))(d)) for d, c in _terms(papers).items()]
+    dated = papers.withColumn("year", year_of(papers)).filter("year is not null")
+    return dated.select("seq", "year", F.explode(F.concat(*named)).alias("x")).select("seq", "year", "x.dim", "x.term")
 
 
 def corpus_years(papers: DataFrame) -> DataFrame:
     """year, n of dated papers."""
-    return papers.select(trend_year(F.col("year")).alias("year")).filter("year is not null").groupBy("year").agg(F.count("*").alias("n"))
+    return papers.select(year_of(papers).alias("year")).filter("year is not null").groupBy("year").agg(F.count("*").alias("n"))
 
 
 def term_years(papers: DataFrame) -> DataFrame:
@@ -157,6 +179,47 @@ def trend_detail(papers: DataFrame, dim: str, term: str, top: int = 8) -> DataFr
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("n"), "key"))).filter(F.col("rank") <= top)
 
 
+def term_context(papers: DataFrame, dim: str, term: str, top: int = 12, few: int = 8) -> DataFrame:
+    """One term in full: part, name, rank, term, n.
+
+    Parts: ``company`` (other terms of its dimension: all, base, recent; ``top`` each), ``cross`` (other dimensions but
+    types), ``authors`` and ``journals`` (base, recent; ``few`` each). The recent window is the last ten years of all
+    papers, the base the ten before. Equal counts go by first appearance. Undated papers count, but in no window.
+    """
+    needle, terms = term.strip().lower(), _terms(papers)
+    last = F.broadcast(papers.agg(F.max(year_of(papers)).alias("_last")))  # one row
+    held = papers.withColumn("_y", year_of(papers)).withColumns({f"_{d}": c for d, c in terms.items()}).filter(F.exists(f"_{dim}", lambda t: F.lower(t) == needle)).crossJoin(last)
+    window = F.when(F.col("_y").between(F.col("_last") - 2 * SPAN + 1, F.col("_last") - SPAN), "base").when(F.col("_y").between(F.col("_last") - SPAN + 1, F.col("_last")), "recent")
+    tagged = [F.transform(c, (lambda d: lambda x, i: F.struct(F.lit(d).alias("dim"), x.alias("term"), i.alias("at")))(d)) for d, c in terms.items() if d != "types" or d == dim]
+    each = held.select("seq", window.alias("w"), F.explode(F.concat(*tagged)).alias("x")).select("seq", "w", "x.*")
+    counted = lambda part, name, most: F.struct(F.lit(part).alias("part"), name.alias("name"), F.lit(most).alias("most"))
+    none = F.array().cast("array<struct<part:string,name:string,most:int>>")
+    own, windowed = F.col("dim") == dim, F.col("dim").isin("authors", "journals")
+    company = F.when(F.lower("term") != needle, F.array(counted("company", F.lit("all"), top), counted("company", F.col("w"), top)))
+    parts = F.concat(
+        F.coalesce(F.when(own, company), none),
+        F.when(~own, F.array(counted("cross", F.col("dim"), few))).otherwise(none),
+        F.when(windowed, F.array(F.struct(F.col("dim").alias("part"), F.col("w").alias("name"), F.lit(few).alias("most")))).otherwise(none),
+    )
+    out = each.select("seq", "term", "at", F.explode(F.filter(parts, lambda p: p["name"].isNotNull())).alias("p")).select("p.*", "term", "seq", "at")
+    counts = out.groupBy("part", "name", "term", "most").agg(F.count("*").alias("n"), F.min(F.struct("seq", "at")).alias("first"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("part", "name").orderBy(F.desc("n"), "first", "term")))
+    return ranked.filter(F.col("rank") <= F.col("most")).select("part", "name", "rank", "term", "n")
+
+
+def term_papers(papers: DataFrame, dim: str, term: str, most: int = 60) -> tuple[DataFrame, DataFrame]:
+    """A term's spelling (that of its last paper) and number of papers (one row), and its latest ``most`` papers: seq, filename, title, year, journal, authors (three).
+
+    Papers without a year come last; those of a year by title, then as listed.
+    """
+    needle, terms = term.strip().lower(), _terms(papers)
+    held = papers.withColumn("_y", year_of(papers)).withColumn("_hit", F.try_element_at(F.filter(terms[dim], lambda t: F.lower(t) == needle), F.lit(1))).filter("_hit is not null")
+    told = held.agg(F.max_by("_hit", "seq").alias("term"), F.count("*").alias("total"))
+    blank = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rows = held.select("seq", "filename", blank("title").alias("title"), F.col("_y").alias("year"), blank("container_title").alias("journal"), F.slice(terms["authors"], 1, 3).alias("authors"))
+    return told, rows.orderBy(F.desc(F.coalesce("year", F.lit(0))), "title", "seq").limit(most)
+
+
 def citation_percentile(works: DataFrame, year: str, cited: str, key: str) -> DataFrame:
     """100 * rank / (n - 1) of each work's citations within its year, to one place; alone: 50. Ties by key, not averaged."""
     own = Window.partitionBy(year)

@@ -72,8 +72,17 @@ def chunk_report(spark, sf_dir):
     return chunking.evaluate(chunking.chunk_documents(docs, sizes=chunking.Sizes(256, 64, 24)), chunking.Sizes(256, 64, 24))
 
 
-@query("select doc_id, case when length(text) - length(replace(text, chr(10), '')) + 1 >= 50 then 'book' else 'paper' end as kind from documents")
+_KIND = """case doc_id % 8 when 0 then text when 1 then concat('Contents{n}One 1{n}', text) when 2 then concat('Chapter 1{n}x{n}CHAPTER two{n}y{n}Part III{n}', text) when 3 then concat('Abstract{n}a{n}1. Introduction{n}b{n}2. METHODS:{n}', text) when 4 then concat('Chapter 1{n}Chapter 1{n}Chapter 2{n}x')
+    when 5 then concat(' Table of Contents {n}Abstract{n}Methods{n}Results{n}', text) when 6 then concat('II. Results{n}III. Discussion{n}x') else '  ' end"""
+
+
+@query(f"""with d as (select doc_id, replace({_KIND.format(n="' || chr(10) || '")}, chr(10), case when doc_id % 2 = 0 then chr(12) else chr(10) end) as t from documents), l as (select doc_id, t, list_transform(regexp_split_to_array(t, '[\n\f]'), lambda x: trim(lower(x))) as l, len(string_split(t, chr(12))) as pages from d),
+c as (select *, len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '^(chapter|part) +([0-9]+|[ivx]+|two)($|[^a-z0-9_])')))) as chapters,
+    len(list_intersect(list_distinct(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^([0-9]+\.?|[ivx]+\.) +', ''), '[.:]+$', ''))), ['abstract', 'introduction', 'background', 'methods', 'method', 'results', 'discussion', 'conclusion', 'conclusions', 'references'])) as core,
+    list_has_any(l, ['contents', 'table of contents']) as contents from l)
+select doc_id, case when trim(t, ' ' || chr(10) || chr(12)) = '' then 'paper' when contents or chapters >= 3 then 'book' when core >= 3 then 'paper' when pages >= 50 then 'book' else 'paper' end as kind from c""")
 def document_kinds(spark, sf_dir):
-    """The router: these documents have no headers, so their pages (lines here) decide."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("t"))
+    """The router by a contents page, chapters, sections of a paper, pages, and nothing of these; every other document's lines are pages."""
+    made = F.expr(_KIND.format(n="\\n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.replace(made, F.lit("\n"), F.lit("\f"))).otherwise(made).alias("t"))
     return d.select("doc_id", chunking.route(F.col("t")).alias("kind"))

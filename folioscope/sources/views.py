@@ -51,6 +51,33 @@ papers as (
     from orders join customer on o_custkey = c_custkey left join terms on o_orderkey = l_orderkey)"""
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """papers() as full records: lists of authors, editors and affiliations, years as they are written, issued years, and what a listing shows."""
+    k = F.col("seq")
+    person = lambda family, given: F.struct(family.alias("family"), given.alias("given"))
+    own = F.array(person(F.col("family"), F.col("given")))
+    second = F.array(person(F.concat(F.lit("Hale "), k % 5), F.lit("J. P.")))
+    none = F.expr("cast(array() as array<struct<family:string,given:string>>)")
+    return papers(spark, sf_dir).withColumns({
+        "authors": F.when(k % 3 == 1, F.concat(own, second)).when(k % 41 == 0, none).otherwise(own),
+        "editors": F.when(k % 4 == 0, F.array(person(F.concat(F.lit("Reed "), k % 6), F.lit("E.")))).otherwise(none),
+        "affiliations": F.when(k % 5 == 0, F.array(F.concat(F.col("affiliation"), F.lit(" ")), F.lit("Nation 3"))).otherwise(F.array("affiliation")),
+        "issued_year": F.when(k % 100 == 7, F.lit("1994-05")).when(k % 100 == 57, F.lit("soon")),
+        "year": F.when(k % 50 == 8, F.lit("n.d.")).when(k % 50 == 9, F.lit("")).otherwise(F.col("year")),
+        "doi": F.when(k % 2 == 0, F.concat(F.lit("10.1/"), k)), "source": F.lit("crossref"),
+    })
+
+
+#: records() as a common table expression after PAPERS_SQL.
+RECORDS_SQL = """records as (select * replace (case seq % 50 when 8 then 'n.d.' when 9 then '' else year end as year),
+    case when seq % 3 = 1 then [{'family': family, 'given': given}, {'family': 'Hale ' || (seq % 5), 'given': 'J. P.'}] when seq % 41 = 0 then [] else [{'family': family, 'given': given}] end as authors,
+    case when seq % 4 = 0 then [{'family': 'Reed ' || (seq % 6), 'given': 'E.'}] else [] end as editors,
+    case when seq % 5 = 0 then [affiliation || ' ', 'Nation 3'] else [affiliation] end as affiliations,
+    case seq % 100 when 7 then '1994-05' when 57 then 'soon' end as issued_year, case when seq % 2 = 0 then '10.1/' || seq end as doi from papers),
+dated as (select *, coalesce(case when try_cast(left(year, 4) as int) between 1800 and 2100 then try_cast(left(year, 4) as int) end, case when try_cast(left(issued_year, 4) as int) between 1800 and 2100 then try_cast(left(issued_year, 4) as int) end,
+    case when regexp_matches(date, '^[0-9]{4}') and cast(left(date, 4) as int) between 1800 and 2100 then cast(left(date, 4) as int) end) as y from records)"""
+
+
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected edges supplier - part brand and type: src, dst, weight (lines that link them), description."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
