@@ -84,6 +84,27 @@ def detail(index: DataFrame, edges: DataFrame, name: str, limit: int = 60) -> Da
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def entity_card(nodes: DataFrame, edges: DataFrame, name: str, most: int = 60) -> tuple[DataFrame, DataFrame]:
+    """What an entity's page shows: one row (name, type, description, degree, n_relations, n_papers, files), and its relations, strongest first.
+
+    nodes: name, entity_type, file_path, description; edges: src, dst, weight, description, keywords. Relations carry their own description (320 characters)
+    and keywords (120); of ends only those met are looked up.
+    """
+    ways = [edges.filter(F.col(a) == name).select(F.col(b).alias("entity"), "weight", "description", "keywords") for a, b in (("src", "dst"), ("dst", "src"))]
+    mine = ways[0].unionByName(ways[1])
+    met = nodes.join(mine.select(F.col("entity").alias("name")).distinct(), "name", "left_semi")
+    ends = both_ways(edges).join(met.select("name"), "name", "left_semi").groupBy(F.col("name").alias("entity")).agg(F.count("*").alias("degree"))
+    kinds = met.select(F.col("name").alias("entity"), F.coalesce(F.nullif(clean_type(F.col("entity_type")), F.lit("")), F.lit("unknown")).alias("entity_type"))
+    order = [F.desc("weight"), F.desc("degree"), F.lower("entity"), F.col("entity")]
+    told = mine.join(ends, "entity").join(kinds, "entity", "left").select("entity", F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"), "degree", snippet(F.col("description"), 320).alias("description"), snippet(F.col("keywords"), 120).alias("keywords"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    first = told.orderBy(*order).limit(most)
+    own = nodes.filter(F.col("name") == name).limit(1).withColumn("_files", node_files(F.col("file_path")))
+    plain = F.trim(F.regexp_replace(F.coalesce("description", F.lit("")), r"\s+", " "))
+    kind_of = F.coalesce(F.nullif(clean_type(F.col("entity_type")), F.lit("")), F.lit("unknown"))
+    card = own.crossJoin(F.broadcast(mine.agg(F.count("*").alias("degree")))).select("name", kind_of.alias("type"), plain.alias("description"), "degree", F.col("degree").alias("n_relations"), F.size("_files").cast("long").alias("n_papers"), F.slice("_files", 1, most).alias("files"))
+    return card, first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def top_subgraph(index: DataFrame, edges: DataFrame, top: int) -> DataFrame:
     """Edges between the ``top`` entities of greatest degree, each pair once."""
     kept = F.broadcast(index.orderBy(F.desc("degree"), "name").limit(top).select("name"))  # ``top`` rows

@@ -28,6 +28,15 @@ def untried(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.select("name", "size").distinct(), ["name", "size"], "left_anti")
 
 
+def free_name(name: Column, taken: Column) -> Column:
+    """A file's name with the first free letter after its year, else, or if it has no year, with _2 and on; taken: names in lower case."""
+    parts = F.regexp_extract(name, r"^(.*_\d{4})[a-z]?\.pdf$", 1)
+    lettered = F.filter(F.transform(F.sequence(F.lit(97), F.lit(122)), lambda i: F.concat(parts, F.char(i), F.lit(".pdf"))), lambda x: (parts != "") & ~F.array_contains(taken, F.lower(x)))
+    base = F.regexp_replace(name, r"\.pdf$", "")
+    counted = F.filter(F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda i: F.concat(base, F.lit("_"), i.cast("string"), F.lit(".pdf"))), lambda x: ~F.array_contains(taken, F.lower(x)))
+    return F.coalesce(F.try_element_at(lettered, F.lit(1)), F.try_element_at(counted, F.lit(1)))
+
+
 def free_letter(taken: Column) -> Column:
     """The first of a to z that is not taken, in any case; null if all are."""
     every = F.array(*[F.lit(chr(97 + i)) for i in range(26)])

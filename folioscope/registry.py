@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.plans import evidences, fullrecords, graphs, impact, lookups, maps, matching, pagelayouts, papers, passages, records, regions, rendering, store, texts, trends, upkeep, vectors, ways  # noqa: F401  each adds its queries
+from folioscope.plans import evidences, fullrecords, graphs, impact, lookups, maps, matching, pagelayouts, papers, passages, reading, records, regions, rendering, store, texts, trends, upkeep, vectors, ways  # noqa: F401  each adds its queries
 from folioscope.plans.base import QUERIES, SQL, Query
 
 
