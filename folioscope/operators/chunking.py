@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.headers import EMBEDDED, PARTING, SOFT, header, longest_first, opening_title
 from folioscope.functions.sentences import sentences
 
 #: Titles of sections; those in EXCLUDED are left out of the chunks. Fixed values.
@@ -30,8 +31,6 @@ SECTIONS = frozenset([
 EXCLUDED = frozenset(["references", "bibliography", "works cited", "literature cited", "acknowledgements", "acknowledgments", "acknowledgement", "acknowledgment"])
 CORE = frozenset(["abstract", "introduction", "background", "methods", "method", "results", "discussion", "conclusion", "conclusions", "references"])
 _NUMBERED = re.compile(r"^(?:\d+(?:\.\d+)*\.?|[IVX]+\.)\s+")
-_DOTTED = re.compile(r"^(?:\d+\.|[IVX]+\.)\s+[A-Z]")
-_CHAPTER = re.compile(r"^(?:chapter|part)\s+(?:\d+|[ivx]+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\b", re.IGNORECASE)
 _CAPTION = re.compile(r"^(?:figure|fig\.|table|plate|chart|scheme)\s+\d", re.IGNORECASE)
 #: Names of months, and words of running heads.
 _MONTHS = "jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|sept|september|oct|october|nov|november|dec|december"
@@ -72,17 +71,7 @@ class Sizes:
     overlap: int = 51
 
 
-def title_of(line: str) -> str | None:
-    """A section's title if the line is a header: a known title, numbered or not, a numbered line of few words, or a chapter."""
-    line = line.strip()
-    if not line or len(line) > 80:
-        return None
-    bare = _NUMBERED.sub("", line).rstrip(".:").strip()
-    if bare.lower() in SECTIONS or _CHAPTER.match(line):
-        return line
-    if _DOTTED.match(line) and len(line.split()) <= 8 and not re.search(r"\s\d+$", line) and not line.endswith((".", ",")):
-        return line
-    return None
+_TITLES = longest_first([*SECTIONS, *SOFT])
 
 
 def is_excluded(title: str) -> bool:
@@ -103,14 +92,17 @@ def keeps_excluded(parts: list[tuple[int, str, str]], count: Callable[[str], int
     return (kept == 0 and out >= 1000) or (share >= 0.8 and kept <= 2000 and out >= 10000) or (share >= 0.95 and out >= 5000) or (len(sections[False]) <= 1 and len(sections[True]) >= 2 and share >= 0.7 and out >= 5000)
 
 
-def paragraphs(text: str, count: Callable[[str], int]) -> Iterator[tuple[int, str, str]]:
-    """(section, its title, paragraph) of a text, excluded sections left out unless they are most of it."""
-    parts = list(_paragraphs(text))
+Line = tuple[str, str, str]
+
+
+def paragraphs(lines: list[Line], count: Callable[[str], int]) -> Iterator[tuple[int, str, str]]:
+    """(section, its title, paragraph) of a text's lines, excluded sections left out unless they are most of it."""
+    parts = list(_sections(_paragraphs(lines)))
     yield from parts if keeps_excluded(parts, count) else (p for p in parts if not is_excluded(p[1]))
 
 
-def _paragraphs(text: str) -> Iterator[tuple[int, str, str]]:
-    """(section, its title, paragraph) of a text; blank lines and headers part paragraphs."""
+def _paragraphs(lines: list[Line]) -> Iterator[tuple[int, str, str]]:
+    """(section, its title, paragraph) of lines (line, kind, title as ``header`` tells them); blank lines and hard headers part paragraphs."""
     section, title, held = 0, "", []
 
     def flush() -> Iterator[tuple[int, str, str]]:
@@ -118,19 +110,35 @@ def _paragraphs(text: str) -> Iterator[tuple[int, str, str]]:
             yield section, title, " ".join(held)
         held.clear()
 
-    for line in text.replace("\f", "\n\n").split("\n"):
-        if header := title_of(line):
+    for line, kind, name in lines:
+        line = line.strip()
+        if kind == "hard":
             yield from flush()
-            section, title = section + 1, header
-        elif not line.strip():
+            section, title = section + 1, name
+            line = line[len(name) :].strip(PARTING)
+        elif not line:
             yield from flush()
-        else:
-            held.append(line.strip())
+        if line:
+            held.append(line)
     yield from flush()
 
 
-def pack(text: str, count: Callable[[str], int], sizes: Sizes) -> list[dict]:
-    """Chunks of one text: paragraphs of a section together up to the longest size, long ones by sentence, then by word; captions alone; small tails joined; whole sentences of the chunk before as overlap."""
+def _sections(parts: Iterator[tuple[int, str, str]]) -> Iterator[tuple[int, str, str]]:
+    """parts with sections begun by titles at the start of paragraphs, too; titles of parts of a section stay, on a line of their own."""
+    more, under, title = 0, 0, ""
+    for section, name, body in parts:
+        if section != under:
+            under, title = section, name
+        found = opening_title(body, _TITLES)
+        if found and _NUMBERED.sub("", found[0]).rstrip(".:").lower() in SECTIONS:
+            more, title, body = more + 1, found[0], found[1]
+        elif found:
+            body = "\n".join(found)
+        yield section + more, title, body
+
+
+def pack(lines: list[Line], count: Callable[[str], int], sizes: Sizes) -> list[dict]:
+    """Chunks of one text, given as its lines: paragraphs of a section together up to the longest size, long ones by sentence, then by word; captions alone; small tails joined; whole sentences of the chunk before as overlap."""
     out: list[dict] = []
 
     def emit(section: int, title: str, body: str, hard: bool = False, caption: bool = False) -> None:
@@ -161,7 +169,7 @@ def pack(text: str, count: Callable[[str], int], sizes: Sizes) -> list[dict]:
             emit(section, title, held)
 
     held: tuple[int, str, str] | None = None
-    for section, title, body in paragraphs(text, count):
+    for section, title, body in paragraphs(lines, count):
         caption = bool(_CAPTION.match(body))
         if held and not caption and held[0] == section and count(body) <= sizes.longest and count(held[2] + "\n\n" + body) <= sizes.longest:
             held = (section, title, held[2] + "\n\n" + body)
@@ -177,8 +185,9 @@ def pack(text: str, count: Callable[[str], int], sizes: Sizes) -> list[dict]:
             held = (section, title, body)
     if held:
         emit(*held)
-    if not out and text.strip():
-        split(0, "", text)
+    whole = "\n".join(line for line, _, _ in lines)
+    if not out and whole.strip():
+        split(0, "", whole)
     return out
 
 
@@ -194,6 +203,17 @@ def overlap_before(chunk: dict, before: dict | None, count: Callable[[str], int]
     return lead if count(f"{lead} {chunk['body']}") <= sizes.longest + sizes.overlap else ""
 
 
+def lines_of(text: Column) -> Column:
+    """A text's lines as array<struct<line, kind, title>>; page breaks are blank lines, numbered headers behind a sentence begin lines of their own."""
+    whole = F.replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), EMBEDDED, "\n"), F.lit("\f"), F.lit("\n\n"))
+
+    def told(line: Column) -> Column:
+        h = header(line, SECTIONS)
+        return F.struct(line.alias("line"), h["kind"].alias("kind"), h["title"].alias("title"))
+
+    return F.transform(F.split(whole, "\n"), told)
+
+
 def words(text: str) -> int:
     return len(text.split())
 
@@ -209,15 +229,15 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k, t in zip(batch[key], batch[text], strict=True):
-                chunks = pack(t or "", count, sizes)
+            for k, t in zip(batch["_key"], batch["_lines"], strict=True):
+                chunks = pack([(x["line"], x["kind"], x["title"]) for x in t], count, sizes)
                 for i, c in enumerate(chunks):
                     lead = overlap_before(c, chunks[i - 1] if i else None, count, sizes)
                     whole = f"{lead} {c['body']}" if lead else c["body"]
                     rows.append((k, i, c["title"], c["section"], whole, c["body"], count(whole), c["n"], count(lead), c["hard"]))
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, {_CHUNKS}")
+    return docs.select(F.col(key).alias("_key"), lines_of(F.col(text)).alias("_lines")).mapInPandas(run, f"`{key}` {kind}, {_CHUNKS}")
 
 
 def page_starts(chunks: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

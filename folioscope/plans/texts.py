@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import texts
+from folioscope.functions import headers, texts
 from folioscope.operators import chunking
 from folioscope.plans.base import query
 from folioscope.sources.views import table
@@ -66,6 +66,19 @@ def paper_chunks(spark, sf_dir):
     return chunking.page_starts(chunks, docs).select("doc_id", "chunk_order_index", "section_title", "tokens", "raw_tokens", "overlap_prev_tokens", "page_start", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
+_HEAD = """case doc_id % 12 when 0 then concat('  ', 1 + doc_id % 9, '. Introduction:') when 1 then 'RESULTS' when 2 then 'Data Analysis' when 3 then 'data analysis' when 4 then concat(doc_id, ' Author Name') when 5 then concat('2.', doc_id % 7, '. Word Norms of Use') when 6 then concat('2.1.', doc_id % 7, '. Word Norms')
+    when 7 then concat('1.1. Word Decoding   ', doc_id) when 8 then concat('3. Related Work ', text, text, '.') when 9 then concat('Chapter ', doc_id, '. Of Words') when 10 then concat('so ', text) else concat('IX. Word norms are ', lang, '.') end"""
+
+
+@query(f"""with h as (select doc_id, {_HEAD} as line from documents), s as (select doc_id, doc_id % 12 as k, trim(line, ' ' || chr(10) || chr(9) || chr(13)) as s from h)
+select doc_id, case k when 0 then 'hard' when 1 then 'hard' when 2 then 'soft' when 5 then 'hard' when 6 then 'soft' when 8 then case when length(s) > 120 then 'hard' when regexp_matches(s, '\.$') then 'none' else 'hard' end when 9 then 'hard' else 'none' end as kind,
+    case k when 8 then case when length(s) > 120 then '3. Related Work' when regexp_matches(s, '\.$') then '' else s end when 0 then s when 1 then s when 2 then s when 5 then s when 6 then s when 9 then s else '' end as title from s""")
+def section_headers(spark, sf_dir):
+    """Which lines are headers of sections, or of parts of one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_HEAD).alias("line"))
+    return d.select("doc_id", headers.header(F.col("line"), chunking.SECTIONS).alias("h")).select("doc_id", "h.kind", "h.title")
+
+
 @query()
 def chunk_report(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import headers
 from folioscope.functions.sentences import sentences
 from folioscope.operators import chunking
 from folioscope.operators.chunking import Sizes
@@ -72,3 +73,31 @@ def test_furniture_and_pages(spark):
 def test_router(spark, text, want):
     d = spark.createDataFrame([(text,)], "t string")
     assert d.select(chunking.route(F.col("t")).alias("k")).first().k == want
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("1. Introduction", ("hard", "1. Introduction")), ("METHODS", ("hard", "METHODS")), ("Participants", ("soft", "Participants")), ("participants.", ("none", "")), ("72 Author Name", ("none", "")), ("v. August", ("none", "")),
+        ("3.2. Feature Extraction", ("hard", "3.2. Feature Extraction")), ("3.2.1. Feature Extraction", ("soft", "3.2.1. Feature Extraction")), ("2.1 Participants", ("soft", "2.1 Participants")), ("1.1. Word Decoding    3", ("none", "")),
+        ("IV. Results and more", ("hard", "IV. Results and more")), ("2. A sentence that is one.", ("none", "")), ("Chapter 3: A Title", ("hard", "Chapter 3: A Title")), ("1. Introduction " + "word " * 40, ("hard", "1. Introduction")),
+        ("2. Participants " + "word " * 40, ("soft", "2. Participants")), ("chapter two. " + "word " * 40, ("hard", "chapter two.")), ("Results " + "word " * 40, ("none", "")), ("", ("none", "")), (None, ("none", "")), ("References:", ("hard", "References:")),
+    ],
+)
+def test_header_kinds(spark, line, want):
+    d = spark.createDataFrame([(line,)], "t string").select(headers.header(F.col("t"), chunking.SECTIONS).alias("h")).first().h
+    assert (d.kind, d.title) == want
+
+
+def test_headings_within_paragraphs_and_sentences(spark):
+    text = f"Abstract It sums up the study.\n\nResearch Methods We did {body(6)}\n\nParticipants\nTen people {body(4, 'p')}\n\n3.1.1 Participants 750 people did {body(5, 'q')}.  2. Results The rest follows {body(40, 'r')}"
+    got = rows(spark, text, Sizes(60, 2, 0))
+    assert [r.section_title for r in got] == ["Abstract", "Research Methods", "2. Results"]
+    assert "3.1.1 Participants" in got[1].raw_text and "Ten people" in got[1].raw_text and got[0].raw_text == "It sums up the study."
+    assert headers.opening_title("RESULTS These are", ["results"]) == ("RESULTS", "These are") and headers.opening_title("Results. These", ["results"]) is None and headers.opening_title("Results show it", ["results"]) is None
+
+
+def test_running_heads_of_publishers(spark):
+    pages = "\f".join(f"Language and Speech 56 {n}\nText of page {n} is here with its own p{n}." for n in (1, 2, 3))
+    got = chunking.strip_furniture(spark.createDataFrame([(1, pages)], "doc_id long, text string")).first().text
+    assert "Language" not in got and "p3." in got
