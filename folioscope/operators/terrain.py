@@ -56,9 +56,9 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = now.join(near, "node", "left").select("node", F.col("component").alias("_was"), F.least("component", F.coalesce("_m", "component")).alias("component"))
         up = least.select(F.col("node").alias("component"), F.col("component").alias("_up"))
         after = settled(least.join(up, "component", "left").select("node", "_was", F.coalesce("_up", "component").alias("component")))
-        settled = after.filter("component != _was").isEmpty()
+        still = after.filter("component != _was").isEmpty()
         now = after.drop("_was")
-        if settled:
+        if still:
             return now
 
 
