@@ -1,4 +1,4 @@
-"""Fields of records as printed, brought to one form."""
+"""Fields of records as printed, brought to one form."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Clusters, maps and author tables over vectors and papers."""
+"""Clusters, maps and author tables over vectors and papers."""
 
 from __future__ import annotations
 

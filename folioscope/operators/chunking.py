@@ -1,4 +1,4 @@
-"""Structure-aware chunking (C1, C3, C5-C7, C9-C14, C16, fixed chunks of C18, A26).
+"""Structure-aware chunking (C1, C3, C5-C10, C12-C14, C16, fixed chunks of C18, A26).
 
 Page furniture is found and cut by joins over exploded lines; what remains of each
 document is sectioned and packed by a small sequential fold, a document a row.

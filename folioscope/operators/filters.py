@@ -1,4 +1,4 @@
-"""Metadata filters over papers: AND across dimensions, OR within a list."""
+"""Metadata filters over papers: AND across dimensions, OR within a list."""
 
 from __future__ import annotations
 

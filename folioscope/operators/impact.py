@@ -50,7 +50,3 @@ def temperature(guesses: DataFrame, target: str, sim: str) -> DataFrame:
     above = (F.col("_before") - F.col("_first")) / F.col("_n")
     warm = before.join(own, target).select(target, sim, (F.round(F.pow(1 - above, F.lit(2.2)) * 990) / 10).alias("temperature"))
     return guesses.join(warm, [target, sim])
-
-
-def new_neighbours(recent: DataFrame, base: DataFrame, on: list[str]) -> DataFrame:
-    return recent.join(base.select(*on), on, "left_anti")

@@ -1,4 +1,4 @@
-"""Chat store, catalogue maintenance and dates of records (C4, C19, J19, T7, DB2, DB5-DB8, DB12-DB15, DB17, DB18, DB21, DB25, ST3)."""
+"""Chat store, catalogue maintenance and dates of records (C4, C19, J19, T7, DB2, DB5-DB8, DB13, DB18, DB21, DB25, ST3)."""
 
 from __future__ import annotations
 
