@@ -72,7 +72,7 @@ def test_ranges_prune_and_lose_nothing():
             found = np.arange(len(x)) if found is None else found
             kept[share] = kept.get(share, 0) + len(found)
             assert set(np.flatnonzero(x @ a >= share * length * bucket.longest)) <= set(found.tolist())
-    assert kept[0.5] < 0.7 * kept[1e-6] and kept[0.95] < 0.2 * kept[1e-6] and not kept[3]
+    assert kept[0.5] < 0.7 * kept[1e-6] and kept[0.95] < 0.25 * kept[1e-6] and not kept[3]  # an anchor's own cluster, a fifth of the rows, stays
 
 
 # 12: manifest
