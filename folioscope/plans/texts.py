@@ -71,8 +71,8 @@ _HEAD = """case doc_id % 12 when 0 then concat('  ', 1 + doc_id % 9, '. Introduc
 
 
 @query(f"""with h as (select doc_id, {_HEAD} as line from documents), s as (select doc_id, doc_id % 12 as k, trim(line, ' ' || chr(10) || chr(9) || chr(13)) as s from h)
-select doc_id, case k when 0 then 'hard' when 1 then 'hard' when 2 then 'soft' when 5 then 'hard' when 6 then 'soft' when 8 then case when length(s) > 120 then 'hard' when regexp_matches(s, '\.$') then 'none' else 'hard' end when 9 then 'hard' else 'none' end as kind,
-    case k when 8 then case when length(s) > 120 then '3. Related Work' when regexp_matches(s, '\.$') then '' else s end when 0 then s when 1 then s when 2 then s when 5 then s when 6 then s when 9 then s else '' end as title from s""")
+select doc_id, case k when 0 then 'hard' when 1 then 'hard' when 2 then 'soft' when 5 then 'hard' when 6 then 'soft' when 8 then case when length(s) > 120 then 'hard' when regexp_matches(s, '\\.$') then 'none' else 'hard' end when 9 then 'hard' else 'none' end as kind,
+    case k when 8 then case when length(s) > 120 then '3. Related Work' when regexp_matches(s, '\\.$') then '' else s end when 0 then s when 1 then s when 2 then s when 5 then s when 6 then s when 9 then s else '' end as title from s""")
 def section_headers(spark, sf_dir):
     """Which lines are headers of sections, or of parts of one."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_HEAD).alias("line"))
@@ -91,7 +91,7 @@ _KIND = """case doc_id % 8 when 0 then text when 1 then concat('Contents{n}One 1
 
 @query(f"""with d as (select doc_id, replace({_KIND.format(n="' || chr(10) || '")}, chr(10), case when doc_id % 2 = 0 then chr(12) else chr(10) end) as t from documents), l as (select doc_id, t, list_transform(regexp_split_to_array(t, '[\n\f]'), lambda x: trim(lower(x))) as l, len(string_split(t, chr(12))) as pages from d),
 c as (select *, len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '^(chapter|part) +([0-9]+|[ivx]+|two)($|[^a-z0-9_])')))) as chapters,
-    len(list_intersect(list_distinct(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^([0-9]+\.?|[ivx]+\.) +', ''), '[.:]+$', ''))), ['abstract', 'introduction', 'background', 'methods', 'method', 'results', 'discussion', 'conclusion', 'conclusions', 'references'])) as core,
+    len(list_intersect(list_distinct(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^([0-9]+\\.?|[ivx]+\\.) +', ''), '[.:]+$', ''))), ['abstract', 'introduction', 'background', 'methods', 'method', 'results', 'discussion', 'conclusion', 'conclusions', 'references'])) as core,
     list_has_any(l, ['contents', 'table of contents']) as contents from l)
 select doc_id, case when trim(t, ' ' || chr(10) || chr(12)) = '' then 'paper' when contents or chapters >= 3 then 'book' when core >= 3 then 'paper' when pages >= 50 then 'book' else 'paper' end as kind from c""")
 def document_kinds(spark, sf_dir):
