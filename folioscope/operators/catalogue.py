@@ -104,12 +104,13 @@ def renumbered(files: DataFrame, stem: str, name: str) -> DataFrame:
 def intake(incoming: DataFrame, store: DataFrame, *keep: str) -> DataFrame:
     """name, ``keep``, decision of incoming files (name, size, hash, stem, doi) against a store: the first that holds of
     dup-identical (name and hash), collision (name), dup-content (size and hash), dup-samepaper (stem and doi), needs-naming (no stem), promote."""
-    names = store.groupBy("name").agg(F.collect_set("hash").alias("_hashes"))
+    names = store.filter("name is not null").select("name").distinct().withColumn("_name", F.lit(True))
+    files = store.select("name", "hash").distinct().withColumn("_file", F.lit(True))
     contents = store.select("size", "hash").distinct().withColumn("_same", F.lit(True))
     works = store.filter("doi != ''").select("stem", "doi").distinct().withColumn("_work", F.lit(True))
-    joined = incoming.join(names, "name", "left").join(contents, ["size", "hash"], "left").join(works, ["stem", "doi"], "left")
+    joined = incoming.join(names, "name", "left").join(files, ["name", "hash"], "left").join(contents, ["size", "hash"], "left").join(works, ["stem", "doi"], "left")
     decision = (
-        F.when(F.array_contains("_hashes", F.col("hash")), "dup-identical").when(F.col("_hashes").isNotNull(), "collision").when(F.col("_same"), "dup-content").when(F.col("_work"), "dup-samepaper").when(F.coalesce("stem", F.lit("")) == "", "needs-naming").otherwise("promote")
+        F.when(F.col("_file"), "dup-identical").when(F.col("_name"), "collision").when(F.col("_same"), "dup-content").when(F.col("_work"), "dup-samepaper").when(F.coalesce("stem", F.lit("")) == "", "needs-naming").otherwise("promote")
     )
     return joined.select("name", *keep, decision.alias("decision"))
 
