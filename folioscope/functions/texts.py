@@ -24,6 +24,12 @@ def quality_status(features: DataFrame) -> Column:
     )
 
 
+def character(code: Column) -> Column:
+    """The character of a code point: unlike Spark's own, beyond 255 too. Surrogates are left out (55296 is U+E000); blank behind the last one."""
+    real = F.when(code < 0xD800, code).otherwise(code + 0x800)
+    return F.when(real <= 0x10FFFF, F.decode(F.unhex(F.lpad(F.hex(real), 8, "0")), "UTF-32")).otherwise(F.lit(""))
+
+
 def plain_text(html: Column) -> Column:
     """Markup to text: scripts, styles, comments and tags go, entities of the five kinds are read, white space collapses."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

@@ -8,6 +8,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.texts import character
+
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """One row for each key: the first in order."""
@@ -95,10 +97,10 @@ def activity(events: DataFrame, chat: str, user: str, ts: str) -> DataFrame:
 
 
 def renumbered(files: DataFrame, stem: str, name: str) -> DataFrame:
-    """name, letter: files of one stem lettered a, b, … by name without gaps; a file alone has none."""
+    """name, letter: files of one stem lettered a, b, … by name without gaps, behind z the code points that follow; a file alone has none."""
     own = Window.partitionBy(stem)
     rank = F.row_number().over(own.orderBy(name))
-    return files.select(stem, name, F.when(F.count("*").over(own) > 1, F.char(96 + rank)).otherwise(F.lit("")).alias("letter"))
+    return files.select(stem, name, F.when(F.count("*").over(own) > 1, character(96 + rank)).otherwise(F.lit("")).alias("letter"))
 
 
 def intake(incoming: DataFrame, store: DataFrame, *keep: str) -> DataFrame:
