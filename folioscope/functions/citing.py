@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.normalise import clean_title
+from folioscope.functions.texts import character
 
 
 def initials(given: Column) -> Column:
@@ -56,14 +57,14 @@ def pages_label(pages: Column) -> Column:
     return F.when(F.size(own) == 0, F.lit("")).otherwise(F.concat(F.when(F.size(own) == 1, F.lit("p. ")).otherwise(F.lit("pp. ")), F.array_join(own.cast("array<string>"), ", ")))
 
 
-def letters(records: DataFrame, label: str, title: str, name: str, stored: str | None = None) -> DataFrame:
-    """letter of records of equal label: the stored ones where all are there and differ, else a, b, … by title and name; blank where a label is alone."""
+def letters(records: DataFrame, label: str, title: str, name: str, stored: str | None = None, most: int | None = 26) -> DataFrame:
+    """letter of records of equal label: the stored ones where all are there and differ, else a, b, … by title and name; blank where a label is alone, and behind the first ``most`` letters if that is given."""
     own = Window.partitionBy(F.lower(label))
     rank = F.row_number().over(own.orderBy(F.lower(title), F.lower(name)))
     several = F.count("*").over(own) > 1
     held = F.coalesce(F.col(stored), F.lit("")) if stored else F.lit("")
     told_apart = F.size(F.collect_set(F.nullif(held, F.lit(""))).over(own)) == F.count("*").over(own)
-    return records.withColumn("letter", F.when(~several, F.lit("")).when(told_apart, held).when(rank <= 26, F.char(96 + rank)).otherwise(F.lit("")))
+    return records.withColumn("letter", F.when(~several, F.lit("")).when(told_apart, held).when(F.lit(True) if most is None else rank <= most, character(96 + rank)).otherwise(F.lit("")))
 
 
 def editor_list(editors: Column) -> Column:
