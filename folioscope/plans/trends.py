@@ -93,10 +93,15 @@ def trend_detail(spark, sf_dir):
     return d.withColumn("rank", F.col("rank").cast("long"))
 
 
+def whole(price):
+    """A price in whole numbers, halves to the even one."""
+    return F.rint(price).cast("long")
+
+
 @query("""select o_orderkey, case when count(*) over w = 1 then 50.0 else round(100.0 * (row_number() over (partition by year(o_orderdate) order by cast(o_totalprice as bigint), o_orderkey) - 1) / greatest(count(*) over w - 1, 1), 1) end as percentile
 from orders window w as (partition by year(o_orderdate))""")
 def citation_percentile(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.expr("cast(round(o_totalprice) as bigint)").alias("cited"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), whole(F.col("o_totalprice")).alias("cited"))
     return trends.citation_percentile(o, "year", "cited", "o_orderkey").select("o_orderkey", "percentile")
 
 
