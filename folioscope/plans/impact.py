@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import catalogue, impact, trends
-from folioscope.operators.search import cosine
+from folioscope.operators.search import cosine, dot
 from folioscope.plans.base import query
 from folioscope.sources.views import PAPERS_SQL, papers, table, vectors
 
@@ -45,9 +45,10 @@ def author_profile(spark, sf_dir):
 
 @query("""with s as (select vec_id, label, round(list_dot_product(embedding::double[], q), 9) as sim from embeddings, (select embedding::double[] as q from embeddings where vec_id = 0)) select vec_id as chunk_id, round(pow(1 - (rank() over (order by sim desc) - 1) / count(*) over (), 2.2) * 990) / 10 as temperature from s""")
 def guess_temperatures(spark, sf_dir):
+    """By inner products, as the vectors are: their lengths are 1 only to seven places."""
     v = vectors(spark, sf_dir)
     q = v.filter("chunk_id = 0").select(F.col("embedding").alias("q"), F.lit(0).alias("target"))
-    return impact.temperature(v.crossJoin(F.broadcast(q)).withColumn("sim", F.round(cosine("embedding", "q"), 9)), "target", "sim").select("chunk_id", "temperature")
+    return impact.temperature(v.crossJoin(F.broadcast(q)).withColumn("sim", F.round(dot("embedding", "q"), 9)), "target", "sim").select("chunk_id", "temperature")
 
 
 @query("select c_mktsegment || '_' || c_nationkey as stem, c_name as name, case when count(*) over w > 1 then chr(cast(96 + row_number() over (partition by c_mktsegment, c_nationkey order by c_name) as int)) else '' end as letter from customer window w as (partition by c_mktsegment, c_nationkey)")
