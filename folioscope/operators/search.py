@@ -73,32 +73,78 @@ def oeuvre_similarity(chunks: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine("x", "y"), 3).alias("cosine"))
 
 
-def knn_graph(chunks: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """Exact kNN graph in blocks: i, rank, j, sim. Each pair of blocks is one matrix product in a task."""
+#: Rows of a block of the neighbour graph, rows of it multiplied at once, and pairs scored again at once.
+BLOCK, SLICE, PAIRS = 16_384, 128, 1 << 17
+
+
+def _nearest(x, y, i, j, k: int):
+    """(i, j, sim) of the k rows of y nearest to each of x by cosine, ties by j, never one of equal id.
+
+    The k-th best of the maxima of runs of columns is a bound from below for the k-th best of all, so what reaches it
+    is little more than k. The bound comes from products in single precision, less what they may be wrong by; what reaches
+    it is scored in double precision, pair by pair and to twelve places, so that equal angles tie.
+    """
+    import numpy as np
+
+    order = np.argsort(j, kind="stable")
+    y, j = y[order], j[order]
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    ends = (y / np.maximum(np.sqrt(yy), 1e-12)[:, None]).T.astype(np.float32)
+    starts = (x / np.maximum(np.sqrt(xx), 1e-12)[:, None]).astype(np.float32)
+    slack = 2.0**-21 * (x.shape[1] + 8)
+    run = max(1, min(128, len(j) // (4 * k)))
+    full = len(j) // run
+    found = []
+    for at in range(0, len(i), SLICE):
+        own, who, square = x[at : at + SLICE], i[at : at + SLICE], xx[at : at + SLICE]
+        sims = starts[at : at + SLICE] @ ends
+        low, high = np.searchsorted(j, who, "left"), np.searchsorted(j, who, "right")
+        for r in np.flatnonzero(high > low).tolist():
+            sims[r, low[r] : high[r]] = -3
+        bound = np.full(len(who), -2, dtype=np.float32)
+        if full > k:
+            bound = np.partition(sims[:, : full * run].reshape(len(who), full, run).max(axis=2), full - k, axis=1)[:, full - k]
+        bound = np.where(bound > slack, bound - np.float32(slack), np.float32(-2))  # at 0 all angles from a right one up are equal
+        a, b = np.nonzero(sims >= bound[:, None])
+        parts = (slice(s, s + PAIRS) for s in range(0, len(a), PAIRS))
+        dots = [np.zeros(0)] + [(own[a[s]] * y[b[s]]).sum(axis=1) for s in parts]
+        both = square[a] * yy[b]
+        score = np.round(np.where(both > 0, np.maximum(0, np.concatenate(dots) / np.sqrt(np.where(both > 0, both, 1))), 0.0), 12)
+        best = np.lexsort((b, -score, a))
+        a, b, score = a[best], b[best], score[best]
+        first = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
+        found.append((who[a[first]], j[b[first]], score[first]))
+    return [np.concatenate(c) for c in zip(*found)]
+
+
+def knn_graph(chunks: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """Exact kNN graph in blocks: i, rank, j, sim. Each pair of blocks is matrix products in a task; vectors with a component that is no finite number take no part.
+
+    All pairs are compared, so the work is quadratic; what a task holds is two blocks and the products of SLICE rows.
+    """
     import numpy as np
     import pandas as pd
 
-    n = max(1, -(-chunks.count() // block))
+    count = chunks.count()
+    n = max(1, -(-count // block), min(4, -(-count // 1024)))  # a small table still makes tasks
     cell = F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = chunks.select("chunk_id", "embedding", cell.alias("p"), every.alias("q"), F.lit(True).alias("left"))
-    cols = chunks.select("chunk_id", "embedding", every.alias("p"), cell.alias("q"), F.lit(False).alias("left"))
-
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("chunk_id")
-        x = np.array(g["embedding"].tolist())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        left, ids = g["left"].to_numpy(), g["chunk_id"].to_numpy()
-        if not left.any() or left.all():
-            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})
-        sims = np.clip(x[left] @ x[~left].T, 0, None)
-        sims[ids[left][:, None] == ids[~left]] = -1
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(sims, order, axis=1)
-        out = pd.DataFrame({"i": np.repeat(ids[left], order.shape[1]), "j": ids[~left][order].ravel(), "sim": best.ravel()})
-        return out[out["sim"] >= 0]
-
-    met = rows.unionByName(cols).groupBy("p", "q").applyInPandas(meet, "i bigint, j bigint, sim double")
+    rows = chunks.select("chunk_id", "embedding", cell.alias("p"), every.alias("q"))
+    cols = chunks.select("chunk_id", "embedding", every.alias("p"), cell.alias("q"))
+
+    def finite(g: pd.DataFrame):
+        x, ids = np.array(g["embedding"].tolist()), g["chunk_id"].to_numpy()
+        good = np.isfinite(x).all(axis=1)
+        return x[good], ids[good]
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) and len(right):
+            (x, i), (y, j) = finite(left), finite(right)
+            if len(i) and len(j):
+                return pd.DataFrame(dict(zip(("i", "j", "sim"), _nearest(x, y, i, j, k))))
+        return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64", "sim": "float64"})
+
+    met = rows.groupBy("p", "q").cogroup(cols.groupBy("p", "q")).applyInPandas(meet, "i bigint, j bigint, sim double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j")))
     return ranked.filter(F.col("rank") <= k).select("i", "rank", "j", "sim")
 
