@@ -40,13 +40,14 @@ def title_matches(left: DataFrame, right: DataFrame, key_l: str, key_r: str, lea
 def reading_order(texts: DataFrame, key: str, a: str, b: str, k: int = 12, least: int = 30) -> DataFrame:
     """key, n, rho: Spearman's correlation of the places of k-word shingles found once in each of two texts; fewer than ``least``: null."""
 
-    def once(c: str, place: str) -> DataFrame:
-        w = F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
-        words = texts.select(key, w.alias("w")).filter(F.size("w") >= k)
-        shingles = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
-        return words.select(key, F.posexplode(shingles).alias(place, "h")).groupBy(key, "h").agg(F.min(place).alias(place), F.count("*").alias("n")).filter("n = 1").drop("n")
-
-    met = once(a, "p").join(once(b, "q"), [key, "h"])
+    whole = texts.select(key, F.struct(F.col(a).alias("a"), F.col(b).alias("b")).alias("_t")).repartition(key)  # texts are dealt by key once, their shingles stay where they are
+    split = lambda c: F.filter(F.split(F.lower(F.col("_t")[c]), r"\s+"), lambda x: x != "")
+    both = whole.select(key, F.explode(F.array(*(F.struct(F.lit(c == "a").alias("a"), split(c).alias("w")) for c in "ab"))).alias("_s")).select(key, "_s.a", "_s.w")
+    shingles = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " ")))
+    each = both.filter(F.size("w") >= k).select(key, "a", F.posexplode(shingles).alias("at", "h"))
+    place, times = (lambda own: F.min(F.when(own, F.col("at")))), (lambda own: F.count_if(own))
+    found = each.groupBy(key, "h").agg(place(F.col("a")).alias("p"), place(~F.col("a")).alias("q"), times(F.col("a")).alias("n"), times(~F.col("a")).alias("m"))
+    met = found.filter("n = 1 and m = 1").drop("n", "m")
     ranked = met.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("p"))).withColumn("j", F.row_number().over(Window.partitionBy(key).orderBy("q")))
     return ranked.groupBy(key).agg(F.count("*").alias("n"), F.corr(F.col("i").cast("double"), F.col("j").cast("double")).alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
 
