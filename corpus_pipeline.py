@@ -4,8 +4,9 @@ Every stage takes all documents that the one before kept, and all but the last
 return the columns of documents, with n_chars for the text as it is then:
 
 ``quality``   removes failed lines and the documents that the rules reject;
-``simhash``   keeps one document (least doc_id) of each group of near-duplicates: five-word
-              shingles, similarity 0.8 or more, all pairs (near_copies.py, no fingerprints);
+``simhash``   keeps one document (least doc_id) of each group of near-duplicates: fingerprints
+              that differ in three bits or fewer (op2), joined by all pairs of similarity 0.8
+              or more over five-word shingles, most of which lie further apart (near_copies.py);
 ``suffixes``  cuts out passages of 100 bytes and more that an earlier text holds,
               in whole characters; a text may become empty, its document stays;
 ``packing``   packs what is left into sequences of 2048 tokens.
@@ -39,7 +40,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_copies.keep_one(docs).select(docs.columns)
+    return near_copies.keep_one(docs, fingerprints=True).select(docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Near-duplicates of the corpus pipeline: all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
+"""What SimHash leaves in the corpus pipeline: all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash cannot be the candidate search here: at that similarity five-word fingerprints
-differ in about ten of 64 bits, often in 17, a radius that no table of segments serves.
-The search is a prefix-filtered join instead, which loses no pair. Shingles have one
+SimHash alone cannot find these: at that similarity five-word fingerprints differ in about
+ten of 64 bits, often in 17, a radius that no table of segments serves. So op2's links of
+fingerprints come in as they are (``fingerprints=True``), and a prefix-filtered join, which
+loses no pair, adds the others. Shingles have one
 order for all texts; two similar texts share one among their first n - ceil(0.8 n) + 1
 (n: distinct shingles), at a place that leaves enough for the overlap. So a text gives
 that prefix as rows (key, node, size, pos) and rows of a key meet. Candidates first compare
@@ -32,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm import simhash
 from folioscope.llm.common import materialize
 from folioscope.llm.components import components
 from folioscope.llm.tokens import slices
@@ -42,7 +44,7 @@ OVER, UNDER = 4, 5
 CROWDED, PIVOTS = 32, 4
 #: Texts sampled for the order of shingles, and common shingles kept of them at most.
 SAMPLE, COMMON = 20_000, 300_000
-_ROWS = "doc_id bigint, key bigint, node bigint, size int, pos int, parity binary"
+_ROWS = "doc_id bigint, key bigint, node bigint, size int, pos int, parity binary, fp bigint"
 _MET = "a bigint, b bigint, key bigint, node bigint, size int, pos int"
 
 
@@ -92,17 +94,18 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["key"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, node) for each text, and the rows (key, node, size, pos) of its prefix and its parity once a task for each node."""
+def _prefixes(docs: DataFrame, fingerprints: bool) -> DataFrame:
+    """A row (doc_id, node) for each text, and the rows (key, node, size, pos) of its prefix, its parity and perhaps fingerprint once a task for each node."""
     common, times = _common(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for rows, texts in slices(batches, "text"):
-            nodes, sizes_of, parities, keys, owner, sizes, places = [], [], [], [], [], [], []
+            nodes, sizes_of, parities, fps, keys, owner, sizes, places = [], [], [], [], [], [], [], []
             for t in texts:
                 words = _words(t)
                 nodes.append(node := _node(words))
+                fps.append(simhash.fingerprint(t) if fingerprints and node not in seen else None)
                 if node in seen or not words:
                     sizes_of.append(None)
                     parities.append(None)
@@ -120,11 +123,11 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 owner.append(np.full(first, node, dtype=np.int64))
                 sizes.append(np.full(first, n, dtype=np.int32))
                 places.append(np.arange(first, dtype=np.int32))
-            none, names = pa.nulls, ["doc_id", "key", "node", "size", "pos", "parity"]
-            yield pa.RecordBatch.from_arrays([rows.column(0), none(len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes_of, pa.int32()), none(len(nodes), pa.int32()), pa.array(parities, pa.binary())], names)
+            none, names = pa.nulls, ["doc_id", "key", "node", "size", "pos", "parity", "fp"]
+            yield pa.RecordBatch.from_arrays([rows.column(0), none(len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes_of, pa.int32()), none(len(nodes), pa.int32()), pa.array(parities, pa.binary()), pa.array(fps, pa.int64())], names)
             if keys:
                 parts = [pa.array(np.concatenate(x)) for x in (keys, owner, sizes, places)]
-                yield pa.RecordBatch.from_arrays([none(len(parts[0]), pa.int64()), *parts, none(len(parts[0]), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([none(len(parts[0]), pa.int64()), *parts, none(len(parts[0]), pa.binary()), none(len(parts[0]), pa.int64())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROWS)
 
@@ -263,16 +266,28 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(met.mapInArrow(compare, "a bigint, b bigint"), "near-links")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _near_fingerprints(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes that connect all whose fingerprints are linked: each to the least of its fingerprint, those to each other."""
+    of = rows.filter("fp is not null").select("fp", "node").distinct()
+    least = materialize(of.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    equal = of.join(least, "fp").select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a != b")
+    near = simhash.links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def keep_one(docs: DataFrame, fingerprints: bool = False) -> DataFrame:
     """docs without near-duplicates: of each group that similar pairs connect, the row of least doc_id stays (rows of null id stay).
 
-    Rows of one doc_id count as one document: they stay or go together, equal texts among them once.
+    fingerprints: op2's links connect, too. Rows of one doc_id count as one document: they stay or go together, equal
+    texts among them once.
     """
     known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    rows = materialize(_prefixes(known), "near-prefixes")
+    rows = materialize(_prefixes(known, fingerprints), "near-prefixes")
     named = rows.filter("doc_id is not null").select("doc_id", "node")
     met = materialize(_by_key(rows.filter("key is not null").select("key", "node", "size", "pos")).mapInArrow(_meet(CROWDED), _MET), "near-met")
     links = _verified(known, rows, met.filter("a is not null").select("a", "b"))
+    if fingerprints:
+        links = materialize(links.unionByName(_near_fingerprints(rows)), "near-all-links")
     found = components(links)
     crowded = met.filter("key is not null").select("key", "node", "size", "pos")
     if not crowded.isEmpty():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioscope.llm import near_copies
+from folioscope.llm import near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +76,16 @@ def test_repeated_ids_nulls_clashing_columns_and_no_rows(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, text), (1, rows[2][1]), (3, None), (None, text)], key=str)
     assert all(r[c] == c for r in kept.collect() for c in names)
     assert near_copies.keep_one(docs.limit(0)).collect() == []
+
+
+def test_simhash_stage_links_fingerprints(spark):
+    """Texts of near fingerprints are near-duplicates in the pipeline, whatever their shingles' similarity; a text of its own under a repeated id stays."""
+    same = " ".join(f"often{i % 7}" for i in range(80))
+    texts = [(1, f"{same} {' '.join(f'x{i}' for i in range(20))}"), (2, f"{same} {' '.join(f'y{i}' for i in range(20))}"), (2, "quite another text of that id"), (3, "a third text")]
+    one, two = (simhash.fingerprint(t) for _, t in texts[:2])
+    assert one != two and bin((one ^ two) & (2**64 - 1)).count("1") <= simhash.RADIUS
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [1, 2, 2, 3]
+    alone = docs.filter("doc_id != 2 or text like 'often%'")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, alone, SF).collect()) == [1, 3]
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()) == [1, 2, 2, 3]
