@@ -1,7 +1,7 @@
 """Quotes found on pages although words were changed, lost or added, over up to three more pages.
 
-Seeds come from a join: places of a quote's first word on the pages of its document, those where the second word
-follows if there are any. From each seed a walk extends along the page; the place of most matching words wins.
+Seeds come from a join: places of a quote's first word on the pages of its document that hold it, those where the
+second word follows if there are any. A page moves with its words, not word by word. From each seed a walk extends along the page; the place of most matching words wins.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.ranks import kept
+from folioscope.operators.ranks import dealt, kept
 
 #: Words of an opening phrase, longest first; misses allowed at least, and as a share of the words tried.
 TIERS, MISSES, MISS_SHARE = (14, 10, 7, 5), 4, 0.34
@@ -72,36 +72,35 @@ def _attempts(quotes: DataFrame) -> DataFrame:
     return words.filter((F.size("q") > 0) & ((F.col("attempt") == 0) | (F.size("q") >= LEAST_WORDS))).select("quote_id", "doc", "hint", "attempt", "q")
 
 
-def _phrase_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(quote_id, only): the page on which a quote's opening phrase stands, the longest that does (a short quote is one itself); of pages the hinted, then the first."""
-    asked = quotes.filter(F.size("q") >= 3).withColumn("k", F.array_join(F.slice("q", 1, 3), " "))
-    three = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, 3), " "))
-    runs = pages.filter(F.size("words") >= 3).select("doc", "page", F.posexplode(three).alias("at", "k"))
-    met = runs.join(asked, ["doc", "k"]).join(pages, ["doc", "page"])  # words come along where three agree
-    tiers = F.filter(F.array(*[F.least(F.lit(n), F.size("q")) for n in TIERS]), lambda n: F.slice("words", F.col("at") + 1, n) == F.slice("q", F.lit(1), n))
-    found = met.withColumn("n", F.array_max(tiers)).filter("n is not null")
-    order = Window.partitionBy("quote_id").orderBy(F.desc("n"), F.when(F.col("page") == F.col("hint"), 0).otherwise(1), "page")
-    return found.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("quote_id", F.col("page").alias("only"))
+def opening(page: list[str], quote: list[str]) -> int | None:
+    """How much of a quote's opening phrase stands on a page: the longest tier that does (a short quote is one itself), none for under three words."""
+    if len(quote) < 3:
+        return None
+    places = [i for i, w in enumerate(page) if w == quote[0] and page[i : i + 3] == quote[:3]]
+    return max((n for n in (min(t, len(quote)) for t in TIERS) if any(page[i : i + n] == quote[:n] for i in places)), default=None)
 
 
 def _first_pages(attempts: DataFrame, pages: DataFrame) -> DataFrame:
-    """attempts with the page of most matched words; where an opening phrase stands on a page, only that page counts."""
-    phrase = _phrase_pages(attempts.filter("attempt = 0"), pages).withColumn("attempt", F.lit(0))
-    near = attempts.join(phrase, ["quote_id", "attempt"], "left")
-    places = pages.select("doc", "page", F.explode(F.array_distinct("words")).alias("w"))
-    first = near.select("quote_id", "attempt", "doc", "only", F.col("q")[0].alias("w"))
-    hit = places.join(first, ["doc", "w"]).filter("only is null or only = page").select("quote_id", "attempt", "doc", "page").distinct()
-    met = hit.join(near, ["quote_id", "attempt", "doc"]).join(pages, ["doc", "page"])  # texts only of pages that hold the first word
+    """attempts with the page of most matched words; where an opening phrase stands on a page, only that page counts: of several the longest phrase's, the hinted, the first."""
+    first = attempts.select("quote_id", "attempt", "doc", "hint", F.array_join("q", " ").alias("q"), F.col("q")[0].alias("w"))
+    wanted = first.groupBy("doc").agg(F.collect_set("w").alias("wanted"))
+    hit = pages.join(wanted, "doc").withColumn("found", F.array_intersect("words", "wanted")).filter(F.size("found") > 0)  # only pages that hold a first word go on
+    places = hit.select("doc", "page", F.array_join("words", " ").alias("words"), F.explode("found").alias("w"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hits = [aligned(p := list(w), q := list(x), seeds_of(p, q))[0] for w, x in zip(b["words"], b["q"], strict=True)]
-            yield b[["quote_id", "attempt", "page", "hint"]].assign(hits=hits).astype({"hint": "Int32"})
+            hits, phrases = [], []
+            for w, x, attempt in zip(b["words"], b["q"], b["attempt"], strict=True):
+                page, quote = w.split(" "), x.split(" ")
+                hits.append(aligned(page, quote, seeds_of(page, quote))[0])
+                phrases.append(opening(page, quote) if attempt == 0 else None)
+            yield b[["quote_id", "attempt", "page", "hint"]].assign(hits=hits, phrase=pd.array(phrases, dtype="Int32")).astype({"hint": "Int32"})
 
     kind = attempts.schema["quote_id"].dataType.simpleString()
-    scored = met.select("quote_id", "attempt", "page", "hint", "words", "q").mapInPandas(run, f"quote_id {kind}, attempt int, page int, hint int, hits int")
-    order = Window.partitionBy("quote_id", "attempt").orderBy(F.desc("hits"), F.when(F.col("page") == F.col("hint"), 0).otherwise(1), "page")
-    best = scored.filter("hits > 0").withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    met = places.join(first, ["doc", "w"]).select("quote_id", "attempt", "page", "hint", "words", "q")
+    scored = met.mapInPandas(run, f"quote_id {kind}, attempt int, page int, hint int, hits int, phrase int")
+    order = [F.desc_nulls_last("phrase"), F.desc(F.when(F.col("phrase").isNull(), F.col("hits"))), F.when(F.col("page") == F.col("hint"), 0).otherwise(1), "page"]
+    best = scored.filter("hits > 0").withColumn("_r", F.row_number().over(Window.partitionBy("quote_id", "attempt").orderBy(*order))).filter("_r = 1")
     return attempts.join(best.select("quote_id", "attempt", "page"), ["quote_id", "attempt"])
 
 
@@ -113,6 +112,7 @@ def locate_roughly(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     words), 20 at most and 3 at least; of a quote and its parts after blank lines, the first found. Others have no row.
     """
     kind = quotes.schema["quote_id"].dataType.simpleString()
+    pages = kept(dealt(pages, "doc", "page"))  # words are made once, each page stays where later hops meet it
     now = kept(_first_pages(kept(_attempts(quotes)), pages))
     state = f"quote_id {kind}, attempt int, doc {quotes.schema['doc'].dataType.simpleString()}, n int, page int, left array<string>, off boolean, first int, last int, hits int"
     now = now.select("quote_id", "attempt", "doc", F.size("q").alias("n"), "page", F.col("q").alias("left"), F.lit(True).alias("off"))

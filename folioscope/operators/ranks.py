@@ -24,6 +24,16 @@ def settled(rows: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(held._jdf.toJavaRDD(), held._jdf.schema()), spark)
 
 
+#: Partitions that rows are dealt into at least, whatever the tasks that read them.
+DEALT = 120
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by hash of their keys in many partitions of a fixed number: a small file is read by one task, and adaptive execution would join partitions until each core has one."""
+    least = int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, DEALT), *keys)
+
+
 def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     """rows with, for each name in ``sums``, the sum of its expression over all rows before them in ``order`` (0 for the first).
 
