@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.ranks import running
+from folioscope.operators.ranks import kept, running
 from folioscope.operators.search import cosine, norm, vector_search
 
 
@@ -37,14 +37,15 @@ def cluster_terms(texts: DataFrame, top: int = 15, min_df: int = 2) -> DataFrame
     """cluster, rank, term, weight: words and pairs of words by class-based tf-idf (texts: cluster, content), each cluster's weights of length one."""
     words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
     own = texts.select("cluster", words.alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 2), " "))
-    each = own.select("cluster", F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
+    after = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), after), F.slice("w", F.lit(2), after), lambda x, y: F.concat(x, F.lit(" "), y))
+    each = own.select("cluster", F.explode(F.concat("w", pairs)).alias("term"))
     tf = each.groupBy("cluster", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    known = tf.withColumn("df", F.count("*").over(Window.partitionBy("term"))).filter(F.col("df") >= min_df)
     n = texts.agg(F.countDistinct("cluster").alias("n"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    lengths = F.broadcast(weighted.groupBy("cluster").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length")))  # a row a cluster
-    ranked = weighted.join(lengths, "cluster").withColumn("weight", F.col("x") / F.col("length")).withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "term")))
+    weighted = kept(known).crossJoin(F.broadcast(n)).withColumn("x", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    lengths = F.broadcast(weighted.groupBy("cluster").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length")).withColumnRenamed("cluster", "_own"))  # a row a cluster
+    ranked = weighted.join(lengths, F.col("cluster").eqNullSafe(F.col("_own"))).withColumn("weight", F.col("x") / F.col("length")).withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("weight", 9)), "term")))
     return ranked.filter(F.col("rank") <= top).select("cluster", "rank", "term", "weight")
 
 

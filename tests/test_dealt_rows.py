@@ -13,6 +13,13 @@ def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_f13_terms_of_a_null_cluster(spark):
+    texts = spark.createDataFrame([(None, "aa bb"), ("x", "aa bb cc"), ("y", "aa dd"), ("y", None), ("z", "")], "cluster string, content string")
+    found = atlas.cluster_terms(texts).collect()
+    assert sorted({(r.cluster or "", r.term) for r in found}) == [("", "aa"), ("", "aa bb"), ("", "bb"), ("x", "aa"), ("x", "aa bb"), ("x", "bb"), ("y", "aa")]
+    assert all(abs(sum(r.weight**2 for r in found if r.cluster == c) - 1) < 1e-9 for c in (None, "x", "y"))
+
+
 def test_f10_pages_move_with_their_words(spark):
     assert quotes.opening(["so", "a", "b", "c", "d", "e", "f"], list("abcdexyz")) == 5
     assert quotes.opening(list("abc"), list("abc")) == 3 and quotes.opening(list("abc"), list("ab")) is None and quotes.opening(list("abx"), list("abc")) is None
