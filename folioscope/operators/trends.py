@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,11 +232,21 @@ def citation_percentile(works: DataFrame, year: str, cited: str, key: str) -> Da
 __all__ = ["bursts", "capped", "citation_percentile", "corpus_years", "deltas", "filled", "lead_lag", "newcomers", "record_terms", "record_year", "shares", "smoothed", "term_stats", "term_years", "trend_detail", "windows"]
 
 
+def in_one_form(values: Column | str, form: Callable[[Column], Column]) -> Column:
+    """Values as printed in one form, each once."""
+    return F.array_distinct(F.transform(values, form))
+
+
+def term_totals(terms: DataFrame) -> DataFrame:
+    """dim, key, term, first_year, n of terms (seq, year, dim, term; a record's repeats dropped): those equal but for case are one, written as its first record has it."""
+    each = terms.filter("term != ''").groupBy("dim", "term").agg(F.min("seq").alias("seq"), F.min("year").alias("year"), F.count("*").alias("n"))  # no texts in the sums, so rows are hashed, not sorted
+    return each.groupBy("dim", F.lower("term").alias("key")).agg(F.min_by("term", F.struct("seq", "term")).alias("term"), F.min("year").alias("first_year"), F.sum("n").alias("n"))
+
+
 def normalised_terms(records: DataFrame) -> DataFrame:
     """seq, year, dim, term of records (seq, year, affiliations, subjects, type) as printed: institutions, subjects and types in one form each,
     a record's repeats dropped after that."""
-    each = lambda c, f: F.array_distinct(F.transform(c, f))
-    dims = {"affiliations": each("affiliations", normalise.affiliation), "subjects": each("subjects", normalise.subject), "types": F.array(normalise.kind(F.col("type")))}
+    dims = {"affiliations": in_one_form("affiliations", normalise.affiliation), "subjects": in_one_form("subjects", normalise.subject), "types": F.array(normalise.kind(F.col("type")))}
     named = lambda d: lambda x: F.struct(F.lit(d).alias("dim"), x.alias("term"))
     listed = F.concat(*(F.transform(c, named(d)) for d, c in dims.items()))
     return records.select("seq", "year", F.explode(listed).alias("x")).select("seq", "year", "x.*").filter("term != ''")

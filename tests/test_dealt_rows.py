@@ -13,6 +13,12 @@ def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_f14_terms_are_summed_by_hash(spark):
+    rows = [(2, 1999, "subjects", "Maths"), (1, 2001, "subjects", "MATHS"), (3, 2000, "subjects", ""), (3, 2000, "types", "Book"), (4, None, "subjects", "Maths")]
+    found = trends.term_totals(spark.createDataFrame(rows, "seq long, year int, dim string, term string"))
+    assert sorted(tuple(r) for r in found.select("dim", "key", "term", "first_year", "n").collect()) == [("subjects", "maths", "MATHS", 1999, 3), ("types", "book", "Book", 2000, 1)]
+
+
 def test_f13_terms_of_a_null_cluster(spark):
     texts = spark.createDataFrame([(None, "aa bb"), ("x", "aa bb cc"), ("y", "aa dd"), ("y", None), ("z", "")], "cluster string, content string")
     found = atlas.cluster_terms(texts).collect()
