@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def word_validity(texts: DataFrame, key: str, text: str, words: DataFrame, least
 
 def _flat(text: str) -> tuple[str, list[int]]:
     """text in small letters with single spaces, and where each of its characters was."""
+    if text.isascii():  # letters keep their number, so whole runs move at once
+        starts, end = [], 0
+        for m in re.finditer(r"\s{2,}", text):
+            starts.extend(range(end, m.start() + 1))
+            end = m.end()
+        starts.extend(range(end, len(text)))
+        return re.sub(r"\s+", " ", text).lower(), starts
     starts = [m.start() for m in re.finditer(r"\s+|\S", text)]
     return "".join(" " if text[i].isspace() else text[i].lower()[0] for i in starts), starts
 
@@ -45,20 +54,31 @@ def span_of(flat: str, starts: list[int], piece: str) -> tuple[int, int] | None:
     return (starts[first], starts[last - 1] + 1) if last > first else None
 
 
-def _spans(texts: pd.Series, pieces: pd.Series) -> pd.Series:
-    out = []
-    for text, wanted in zip(texts, pieces):
-        flat = _flat(text or "")
-        found = (span_of(*flat, p or "") for p in wanted)
-        out.append([{"s": f[0], "e": f[1]} if f else {"s": None, "e": None} for f in found])
-    return pd.Series(out)
+#: Texts that a task holds as Python objects at once.
+_HELD = 64
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, piece_id, s, e of rows (doc_id, ids, pieces, text), a few texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), _HELD):
+            few = batch.slice(at, _HELD)
+            found = []
+            for pieces, text in zip(few.column("pieces").to_pylist(), few.column("text").to_pylist()):
+                flat = _flat(text or "")
+                found += [span_of(*flat, p or "") or (None, None) for p in pieces]
+            ids = few.column("ids")
+            docs = few.column("doc_id").take(pc.list_parent_indices(ids))
+            ends = (pa.array([f[i] for f in found], pa.int32()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([docs, ids.flatten(), *ends], ["doc_id", "piece_id", "s", "e"])
 
 
 def located(pieces: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, piece_id, s, e: the span of each piece (doc_id, piece_id, piece) in its text (doc_id, text); null where it is not found. A text moves once, whatever its pieces."""
     listed = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_id", "piece"))).alias("p"))
-    found = listed.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "p", F.pandas_udf(_spans, "array<struct<s:int,e:int>>")("text", F.col("p.piece")).alias("f"))
-    return found.select("doc_id", F.explode(F.arrays_zip("p", "f")).alias("x")).select("doc_id", "x.p.piece_id", "x.f.s", "x.f.e")
+    met = listed.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", F.col("p.piece_id").alias("ids"), F.col("p.piece").alias("pieces"), "text")
+    kinds = (pieces.schema[c].dataType.simpleString() for c in ("doc_id", "piece_id"))
+    return met.mapInArrow(_spans, "doc_id {}, piece_id {}, s int, e int".format(*kinds))
 
 
 def repaired(held: DataFrame, fragments: DataFrame) -> DataFrame:

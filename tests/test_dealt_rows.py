@@ -36,3 +36,11 @@ def test_f10_pages_move_with_their_words(spark):
     assert [(r.quote_id, r.page) for r in found.collect()] == [(7, 2)]
     before, _ = plan(found)
     assert before.count("Generate explode") == 1  # a row for each first word that a page holds, not for each word
+
+
+def test_f16_few_texts_at_once():
+    n = 200
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "ids": [0, 1], "pieces": ["TEXT ", "none"], "text": f"a  text {i}"} for i in range(n)])
+    out = list(repair._spans(iter([batch])))
+    assert max(len(b) for b in out) <= 2 * repair._HELD and sum(len(b) for b in out) == 2 * n
+    assert out[0].to_pylist()[:2] == [{"doc_id": 0, "piece_id": 0, "s": 3, "e": 7}, {"doc_id": 0, "piece_id": 1, "s": None, "e": None}]
