@@ -123,10 +123,13 @@ def repeated_edges(pages: DataFrame, edge: int = 3) -> DataFrame:
     lines = F.transform(F.split("text", r"\r?\n"), lambda x: F.trim(x))
     edges = F.concat(F.slice(lines, 1, edge), F.slice(lines, F.greatest(F.size(lines) - edge + 1, F.lit(1)), edge))
     key = lambda x: F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*\d{1,4}\s+|\s+\d{1,4}\s*$", ""), r"\s+", " ")))
-    each = pages.select("doc_id", F.explode(F.array_distinct(F.transform(edges, key))).alias("line")).filter(F.length("line").between(4, 120))
-    sizes = pages.groupBy("doc_id").agg(F.count("*").alias("_pages")).filter("_pages >= 4")
-    counts = each.groupBy("doc_id", "line").agg(F.count("*").alias("_n")).join(sizes, "doc_id")
-    return counts.filter(F.col("_n") >= F.greatest(F.lit(3), F.floor(F.col("_pages") * 0.4))).select("doc_id", "line", F.col("_n").alias("n_pages"))
+    found = F.filter(F.array_distinct(F.transform(edges, key)), lambda x: F.length(x).between(4, 120))
+    page = F.array(F.lit(None).cast("string"))  # counts the page itself
+    each = pages.filter("doc_id is not null").select("doc_id", F.explode(F.concat(F.coalesce(found, F.array().cast("array<string>")), page)).alias("line"))
+    counts = each.groupBy("doc_id", "line").agg(F.count("*").alias("_n"))
+    sized = counts.withColumn("_pages", F.max(F.when(F.col("line").isNull(), F.col("_n"))).over(Window.partitionBy("doc_id")))
+    kept = sized.filter(F.col("line").isNotNull() & (F.col("_pages") >= 4) & (F.col("_n") >= F.greatest(F.lit(3), F.floor(F.col("_pages") * 0.4))))
+    return kept.select("doc_id", "line", F.col("_n").alias("n_pages"))
 
 
 def new_neighbours(recent: DataFrame, base: DataFrame, term: str = "term") -> DataFrame:

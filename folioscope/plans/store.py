@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.operators import store
+from folioscope.operators.ranks import dealt
 from folioscope.plans.base import query
 from folioscope.sources.views import table
 
@@ -132,7 +133,8 @@ def repeated_edges(spark, sf_dir):
     """Running heads and feet of documents of several pages."""
     head = F.when(F.col("l_linenumber") % 2 == 0, "Left  Head").otherwise("Right Head")
     text = F.concat(F.lit("Journal of "), F.col("l_orderkey") % 5, F.lit(" Things "), "l_linenumber", F.lit("\n"), head, F.lit("\n"), "body", F.lit(" body"))
-    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.concat("l_returnflag", "l_linestatus")).alias("body"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    pages = dealt(lines, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.concat("l_returnflag", "l_linestatus")).alias("body"))
     return store.repeated_edges(pages.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), text.alias("text")))
 
 

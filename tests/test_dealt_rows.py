@@ -13,6 +13,11 @@ def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_f20_repeated_edges_has_one_shuffle(spark):
+    _, executed = plan(registry.queries()["repeated_edges"](spark, SF))
+    assert executed.count("Exchange ") == 1 and f", {ranks.DEALT})" in executed
+
+
 def test_f14_terms_are_summed_by_hash(spark):
     rows = [(2, 1999, "subjects", "Maths"), (1, 2001, "subjects", "MATHS"), (3, 2000, "subjects", ""), (3, 2000, "types", "Book"), (4, None, "subjects", "Maths")]
     found = trends.term_totals(spark.createDataFrame(rows, "seq long, year int, dim string, term string"))
