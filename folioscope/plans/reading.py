@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import plaintext
 from folioscope.operators import graph, store, uploads
+from folioscope.operators.ranks import dealt
 from folioscope.plans.base import query
 from folioscope.plans.passages import _CHUNKS
 from folioscope.sources.views import GRAPH_SQL, PAPERS_SQL, graph_edges, graph_nodes, papers, table, text_chunks
@@ -84,7 +85,7 @@ _MARKED = """concat('# ', c_name, '{n}{n}{n}{n}> **bold *and _both_* here** of [
 'References' || chr(10) || chr(10) || '[1] ' || c_name || '. Title.' || chr(10) || chr(10) || '[2] f' || c_custkey || '.pdf' as listed from customer""")
 def plain_markdown(spark, sf_dir):
     """Formatted texts as they read."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     refs = plaintext.numbered_references(F.array(F.concat("c_name", F.lit(". *Title*.")), F.lit("")), F.array(F.lit("x.pdf"), F.concat(F.lit("f"), "c_custkey", F.lit(".pdf"))))
     return c.select("c_custkey", plaintext.plain_markdown(F.expr(_MARKED.format(n="\\n"))).alias("text"), refs.alias("listed"))
 

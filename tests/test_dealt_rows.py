@@ -13,6 +13,10 @@ def plan(df):
     return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_f21_plain_markdown_is_dealt(spark):
+    assert registry.queries()["plain_markdown"](spark, SF).rdd.getNumPartitions() >= ranks.DEALT
+
+
 def test_f20_repeated_edges_has_one_shuffle(spark):
     _, executed = plan(registry.queries()["repeated_edges"](spark, SF))
     assert executed.count("Exchange ") == 1 and f", {ranks.DEALT})" in executed
