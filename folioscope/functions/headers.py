@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,31 +23,44 @@ def longest_first(titles) -> list[str]:
     return sorted(titles, key=lambda t: (-len(t.split()), -len(t), t))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def header(line: Column, hard: frozenset[str]) -> Column:
     """struct(kind, title) of a line: ``hard`` begins a section, ``soft`` names a part of one, ``none`` is text; hard: the titles of sections."""
-    s = F.regexp_replace(line, r"^\s+|\s+$", "")
-    after = lambda pattern: F.regexp_replace(s, pattern, "")
     bare = lambda c: F.regexp_replace(F.lower(c), r"[.:]+$", "")
     told = lambda kind, title: F.struct(F.lit(kind).alias("kind"), title.alias("title"))
     kind_of = lambda c: F.when(c.isin(*sorted(hard)), "hard").otherwise("soft")
     known = lambda c: c.isin(*sorted(hard), *SOFT)
-    own = bare(after(_NUMBER))
-    dotted = F.regexp_extract(s, _DOTTED, 1)
-    title = F.regexp_replace(after(_DOTTED), r"^\s+", "")
+    none = told("none", F.lit(""))
+    after = lambda s, pattern: F.regexp_replace(s, pattern, "")
+    rest = lambda s: F.regexp_replace(after(s, _DOTTED), r"^\s+", "")
     named = rf"(?i)^({'|'.join(longest_first([*hard, *SOFT]))})(?=[ \t\n:]|$)"
-    first = F.regexp_extract(title, named, 1)
-    chapter = F.regexp_extract(s, _CHAPTER, 1)
-    long_line = F.when((dotted != "") & (first != ""), F.struct(kind_of(F.lower(first)).alias("kind"), F.concat(dotted, first).alias("title"))).when(chapter != "", told("hard", chapter)).otherwise(told("none", F.lit("")))
-    depth, n_words = F.length(dotted) - F.length(F.replace(dotted, F.lit("."), F.lit(""))), F.size(F.split(title, r"\s+"))
-    numbered = (dotted != "") & title.rlike(r"^\p{Lu}") & (n_words <= MOST_WORDS) & ~title.endswith(".")
-    short = (
-        F.when(s.rlike(r"\s+\d+$"), told("none", F.lit("")))  # a line of a contents page
-        .when(s.rlike(r"^[\p{Lu}0-9]") & known(own), F.struct(kind_of(own).alias("kind"), s.alias("title")))
-        .when((dotted != "") & known(bare(title)), F.struct(kind_of(bare(title)).alias("kind"), s.alias("title")))
-        .when(numbered, F.struct(F.when(depth <= DEPTH, "hard").otherwise("soft").alias("kind"), s.alias("title")))
-        .when(chapter != "", told("hard", s)).otherwise(told("none", F.lit("")))
-    )
-    return F.when(F.coalesce(s, F.lit("")) == "", told("none", F.lit(""))).when(F.length(s) > LONG, long_line).otherwise(short)
+
+    def by_chapter(s: Column, whole: bool) -> Column:
+        return let(F.regexp_extract(s, _CHAPTER, 1), lambda chapter: F.when(chapter != "", told("hard", s if whole else chapter)).otherwise(none))
+
+    def long_line(s: Column, dotted: Column) -> Column:
+        first = F.when(dotted != "", F.regexp_extract(rest(s), named, 1)).otherwise("")
+        return let(first, lambda first: F.when(first != "", F.struct(kind_of(F.lower(first)).alias("kind"), F.concat(dotted, first).alias("title"))).otherwise(by_chapter(s, False)))
+
+    def with_number(s: Column, dotted: Column, title: Column) -> Column:
+        depth, n_words = F.length(dotted) - F.length(F.replace(dotted, F.lit("."), F.lit(""))), F.size(F.split(title, r"\s+"))
+        numbered = title.rlike(r"^\p{Lu}") & ~title.endswith(".") & (n_words <= MOST_WORDS)
+        return let(bare(title), lambda own: F.when(known(own), F.struct(kind_of(own).alias("kind"), s.alias("title"))).when(numbered, F.struct(F.when(depth <= DEPTH, "hard").otherwise("soft").alias("kind"), s.alias("title"))).otherwise(by_chapter(s, True)))
+
+    def short(s: Column, dotted: Column) -> Column:
+        own = F.when(s.rlike(r"^[\p{Lu}0-9]"), bare(after(s, _NUMBER))).otherwise("")
+        others = F.when(dotted != "", let(rest(s), lambda title: with_number(s, dotted, title))).otherwise(by_chapter(s, True))
+        found = let(own, lambda own: F.when(known(own), F.struct(kind_of(own).alias("kind"), s.alias("title"))).otherwise(others))
+        return F.when(s.rlike(r"\s+\d+$"), none).otherwise(found)  # not a line of a contents page
+
+    def of(s: Column) -> Column:
+        return F.when(s == "", none).otherwise(let(F.regexp_extract(s, _DOTTED, 1), lambda dotted: F.when(F.length(s) > LONG, long_line(s, dotted)).otherwise(short(s, dotted))))
+
+    return let(F.coalesce(F.regexp_replace(line, r"^\s+|\s+$", ""), F.lit("")), of)
 
 
 def opening_title(block: str, titles: list[str]) -> tuple[str, str] | None:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.headers import EMBEDDED, PARTING, SOFT, header, longest_first, opening_title
+from folioscope.functions.headers import EMBEDDED, PARTING, SOFT, header, let, longest_first, opening_title
 from folioscope.functions.sentences import sentences
 
 #: Titles of sections; those in EXCLUDED are left out of the chunks. Fixed values.
@@ -208,8 +208,7 @@ def lines_of(text: Column) -> Column:
     whole = F.replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), EMBEDDED, "\n"), F.lit("\f"), F.lit("\n\n"))
 
     def told(line: Column) -> Column:
-        h = header(line, SECTIONS)
-        return F.struct(line.alias("line"), h["kind"].alias("kind"), h["title"].alias("title"))
+        return let(header(line, SECTIONS), lambda h: F.struct(line.alias("line"), h["kind"].alias("kind"), h["title"].alias("title")))
 
     return F.transform(F.split(whole, "\n"), told)
 

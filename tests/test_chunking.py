@@ -101,3 +101,12 @@ def test_running_heads_of_publishers(spark):
     pages = "\f".join(f"Language and Speech 56 {n}\nText of page {n} is here with its own p{n}." for n in (1, 2, 3))
     got = chunking.strip_furniture(spark.createDataFrame([(1, pages)], "doc_id long, text string")).first().text
     assert "Language" not in got and "p3." in got
+
+
+def test_marks_alone_ask_for_the_next_sentence(monkeypatch):
+    """Words without a mark at their end cost no match."""
+    from folioscope.functions import sentences as module
+
+    asked = []
+    monkeypatch.setattr(module.re, "match", lambda *a: asked.append(a))
+    assert sentences("word " * 500 + "end. Next") == ["word " * 500 + "end. Next"] and len(asked) == 1
