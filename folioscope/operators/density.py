@@ -38,6 +38,7 @@ def reachability(neighbours: DataFrame, min_samples: int) -> DataFrame:
 
     The core distance is that to the min_samples-th nearest, the point itself being the first.
     """
+    neighbours = settled(neighbours)  # read more than once, and an exact graph compares all pairs
     core = neighbours.groupBy("i").agg(F.max(F.when(F.col("rank") <= min_samples - 1, F.col("dist"))).alias("core")).select("i", F.coalesce("core", F.lit(0.0)).alias("core"))
     pairs = neighbours.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.min("dist").alias("dist")).filter("a < b")
     ends = [core.withColumnsRenamed({"i": e, "core": f"core_{e}"}) for e in "ab"]
@@ -147,27 +148,36 @@ def condensed(merges: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
 def selected(clusters: DataFrame) -> DataFrame:
     """(cluster, chosen): the cluster at or above each that is worth more than what lies below it (excess of mass), null if none.
 
-    A tree's only root is no choice; of several trees the roots are. Rounds go from the last clusters upwards.
+    A tree's only root is no choice; of several trees the roots are. What lies below a cluster has earlier merges, so clusters are
+    weighed in order of their merges, those of BLOCK merges in one task at a time: the rounds do not follow the depth of the tree.
     """
     alone = clusters.filter("parent is null").limit(2).count() < 2
-    left = settled(clusters.select("cluster", "parent", "stability"))
-    done = None
-    while not left.isEmpty():
-        waiting = left.select(F.col("parent").alias("cluster")).distinct()
-        ready = left.join(waiting, "cluster", "left_anti")
-        if done is not None:
-            below = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("worth").alias("below"))
-            ready = ready.join(below, "cluster", "left")
+    ranked = settled(clusters.select("cluster", F.coalesce("parent", F.lit(0)).alias("parent"), "stability", F.expr(f"(-cluster - 1) div {BLOCK}").alias("block")))
+
+    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+        below, out = {}, []
+        for cluster, parent, stability, held in rows.sort_values("cluster", ascending=False)[["cluster", "parent", "stability", "held"]].itertuples(index=False, name=None):
+            under = held + below.pop(cluster, 0.0)
+            takes = stability >= under and not (alone and not parent)
+            worth = stability if takes else under
+            if parent:
+                below[parent] = below.get(parent, 0.0) + worth
+            out.append((cluster, parent, worth, takes))
+        return pd.DataFrame(out, columns=["cluster", "parent", "worth", "takes"])
+
+    done, blocks = None, ranked.agg(F.max("block")).first()[0]
+    for block in range(0 if blocks is None else blocks + 1):
+        rows = ranked.filter(F.col("block") == block)
+        if done is None:
+            rows = rows.withColumn("held", F.lit(0.0))
         else:
-            ready = ready.withColumn("below", F.lit(None).cast("double"))
-        below = F.coalesce("below", F.lit(0.0))
-        takes = (F.col("stability") >= below) & ~(F.lit(alone) & F.col("parent").isNull())
-        ready = ready.select("cluster", "parent", F.when(takes, F.col("stability")).otherwise(below).alias("worth"), takes.alias("takes"))
-        done = settled(ready if done is None else done.unionByName(ready))
-        left = settled(left.join(done, "cluster", "left_anti"))
+            earlier = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("worth").alias("held"))
+            rows = rows.join(earlier, "cluster", "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
+        found = settled(rows.groupBy("block").applyInPandas(weigh, "cluster bigint, parent bigint, worth double, takes boolean"))
+        done = found if done is None else done.unionByName(found)
     if done is None:
         return clusters.select("cluster", F.lit(None).cast("long").alias("chosen"))
-    now = settled(done.select("cluster", F.col("parent").alias("up"), F.when(F.col("takes"), F.col("cluster")).alias("chosen")))
+    now = settled(done.select("cluster", F.nullif("parent", F.lit(0)).alias("up"), F.when(F.col("takes"), F.col("cluster")).alias("chosen")))
     while not now.filter("up is not null").isEmpty():  # the topmost choice at or above, by doubling
         above = now.select(F.col("cluster").alias("up"), F.col("up").alias("_up"), F.col("chosen").alias("_chosen"))
         now = settled(now.join(above, "up", "left").select("cluster", F.col("_up").alias("up"), F.coalesce("_chosen", "chosen").alias("chosen")))

@@ -92,6 +92,44 @@ def test_nothing_dense(spark):
     assert {(r.cluster, r.noise) for r in density.density_clusters(chunks, graph.limit(0), 3, 2).collect()} == {(-1, True)}
 
 
+@pytest.mark.parametrize(("depth", "block"), [(40, 1 << 20), (25, 20)])
+def test_choice_of_clusters_takes_no_round_for_each_level(spark, monkeypatch, depth, block):
+    monkeypatch.setattr(density, "BLOCK", block)
+    rng, rows = random.Random(8), []
+    for level in range(depth):  # the last merge, -2 * depth, is the root; each holds a leaf and the rest
+        node, parent = -2 * (depth - level), None if level == 0 else -2 * (depth - level + 1)
+        rows += [(node, parent, rng.random() * (level + 1)), (node + 1, node, rng.random())]
+    want, under = {}, {}
+    for node, parent, stability in sorted(rows, reverse=True):
+        below = under.get(node, 0.0)
+        takes = stability >= below and parent is not None
+        under[parent] = under.get(parent, 0.0) + (stability if takes else below)
+        want[node] = takes
+    parents = {node: parent for node, parent, _ in rows}
+
+    def top(node):
+        return parents[node] and top(parents[node]) or (node if want[node] else None)
+
+    calls, settled = [], density.settled
+    monkeypatch.setattr(density, "settled", lambda d: calls.append(1) or settled(d))
+    got = density.selected(spark.createDataFrame(rows, "cluster long, parent long, stability double")).collect()
+    assert {r.cluster: r.chosen for r in got} == {node: top(node) for node in want} and len({top(n) for n in want}) > 3
+    assert len(calls) < 15
+
+
+def test_neighbours_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    pts = points()[:20]
+    graph = spark.createDataFrame(neighbours(pts, 3), "i long, rank int, j long, dist double").mapInPandas(run, "i long, rank int, j long, dist double")
+    assert density.reachability(graph, 3).count() > 20 and made.value == 60
+
+
 def test_blur_mirrors_the_map(spark):
     grid = spark.createDataFrame([(0, 3, 1.0), (5, 5, 2.0)], "gx int, gy int, v double")
     got = {(r.gx, r.gy): r.v for r in terrain.blurred(grid, 6, 1.0).collect()}
