@@ -16,6 +16,11 @@ LEAST_WORDS, LEAST_SIDE, CROSSING = 40, 15, 0.03
 LEAST_NUMBERS, MARGIN, APART, RISING = 8, 0.15, 20, 0.7
 
 
+def _share(part: float, width: float) -> float:
+    """A share of the width in decimals, as the SQL has it: 0.035 of 600 is 21, where binary fractions give a little more."""
+    return round(part * width, 9)
+
+
 def text_lines(words: DataFrame) -> DataFrame:
     """page, line (from 1, downwards), text: words whose tops lie within 0.6 of the middle height (3 at least) of a line's first word are one line."""
     facts = words.groupBy("page").agg(F.array_sort(F.collect_list(F.col("y1") - F.col("y0"))).alias("h"), F.array_sort(F.collect_set("y0")).alias("tops"))
@@ -32,10 +37,10 @@ def gutters(words: DataFrame, width: float) -> DataFrame:
     """page, gutter, gap: the middle of the widest gap between words' centres in the band about the page's middle, the leftmost of equals; narrower ones are none."""
     centre = (F.col("x0") + F.col("x1")) / 2
     pairs = words.select("page", centre.alias("b")).withColumn("a", F.lag("b").over(Window.partitionBy("page").orderBy("b")))
-    inside = pairs.filter((F.col("a") >= BAND[0] * width) & (F.col("b") <= BAND[1] * width))
+    inside = pairs.filter((F.col("a") >= _share(BAND[0], width)) & (F.col("b") <= _share(BAND[1], width)))
     best = inside.groupBy("page").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("b") - F.col("a"), -F.col("a"))).alias("p"))
     found = best.select("page", ((F.col("p.a") + F.col("p.b")) / 2).alias("gutter"), (F.col("p.b") - F.col("p.a")).alias("gap"))
-    return found.filter((F.col("gap") > 0) & (F.col("gap") >= LEAST_GUTTER * width))
+    return found.filter((F.col("gap") > 0) & (F.col("gap") >= _share(LEAST_GUTTER, width)))
 
 
 def without_line_numbers(words: DataFrame, width: float) -> DataFrame:
@@ -54,7 +59,7 @@ def without_line_numbers(words: DataFrame, width: float) -> DataFrame:
     steps = island.withColumn("_rises", F.when(F.col("_alone"), (number >= F.lag(number).over(down)).cast("int")))
     whole = Window.partitionBy("page", "_alone", "_island")
     n, mean = F.count("*").over(whole), F.avg("_c").over(whole)
-    column = F.col("_alone") & (n >= LEAST_NUMBERS) & ((mean < MARGIN * width) | (mean > (1 - MARGIN) * width)) & (F.sum("_rises").over(whole) >= RISING * (n - 1))
+    column = F.col("_alone") & (n >= LEAST_NUMBERS) & ((mean < _share(MARGIN, width)) | (mean > _share(1 - MARGIN, width))) & (F.sum("_rises").over(whole) >= RISING * (n - 1))
     return steps.withColumn("_column", column).filter(~F.col("_column")).select(words.columns)
 
 
