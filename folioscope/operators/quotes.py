@@ -1,18 +1,21 @@
 """Quotes found on pages although words were changed, lost or added, over up to three more pages.
 
-Seeds come from a join: places of a quote's first word on the pages of its document that hold it, those where the
-second word follows if there are any. A page moves with its words, not word by word. From each seed a walk extends along the page; the place of most matching words wins.
+Pages and quotes are dealt by document once and read in order, a document's pages before its quotes; nothing is written
+between the first page and the next ones. Seeds are places of a quote's first word, those where the second word follows if
+there are any. From each seed a walk extends along the page; the place of most matching words wins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import floor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.operators.ranks import dealt, kept
+from folioscope.operators.ranks import dealt
 
 #: Words of an opening phrase, longest first; misses allowed at least, and as a share of the words tried.
 TIERS, MISSES, MISS_SHARE = (14, 10, 7, 5), 4, 0.34
@@ -81,7 +84,10 @@ def opening(page: list[str], quote: list[str]) -> int | None:
 
 
 def _first_pages(attempts: DataFrame, pages: DataFrame) -> DataFrame:
-    """attempts with the page of most matched words; where an opening phrase stands on a page, only that page counts: of several the longest phrase's, the hinted, the first."""
+    """attempts with the page of most matched words; where an opening phrase stands on a page, only that page counts: of several the longest phrase's, the hinted, the first.
+
+    first_page() by joins, to check it against: locate_roughly() does not use it, as each of its joins shuffles the pages.
+    """
     first = attempts.select("quote_id", "attempt", "doc", "hint", F.array_join("q", " ").alias("q"), F.col("q")[0].alias("w"))
     wanted = first.groupBy("doc").agg(F.collect_set("w").alias("wanted"))
     hit = pages.join(wanted, "doc").withColumn("found", F.array_intersect("words", "wanted")).filter(F.size("found") > 0)  # only pages that hold a first word go on
@@ -104,39 +110,62 @@ def _first_pages(attempts: DataFrame, pages: DataFrame) -> DataFrame:
     return attempts.join(best.select("quote_id", "attempt", "page"), ["quote_id", "attempt"])
 
 
+def first_page(pages: dict[int, list[str]], quote: list[str], attempt: int, hint: int | None) -> int | None:
+    """The page of most matched words; where an opening phrase stands on a page, only that page counts: of several the longest phrase's, the hinted, the first."""
+    best = None
+    for page, words in pages.items():
+        hits = aligned(words, quote, seeds_of(words, quote))[0] if quote[0] in words else 0
+        if hits:
+            phrase = opening(words, quote) if attempt == 0 else None
+            key = (-(phrase or 0), -hits if phrase is None else 0, page != hint, page)
+            best = key if best is None else min(best, key)
+    return None if best is None else best[-1]
+
+
+def placed(pages: dict[int, list[str]], quote: list[str], attempt: int, hint: int | None) -> tuple[list[tuple[int, int, int]], int] | None:
+    """(spans, words matched) of a quote on the pages of its document, from its first page over the next ones; None if too few words match."""
+    page, left, spans, matched, off = first_page(pages, quote, attempt, hint), quote, [], 0, True
+    while page in pages and len(spans) <= MORE_PAGES and (not spans or len(left) >= LEAST_WORDS):
+        words = pages[page]
+        hits, first, last, used = aligned(words, left, seeds_of(words, left))
+        if hits < (3 if off else max(LEAST_WORDS, min(20, len(left) // 2))):
+            break
+        spans.append((page, first, last))
+        matched, left, off, page = matched + hits, left[used:], last >= len(words) - 3, page + 1
+    n = len(quote)
+    least = min(n, max(3, min(floor((0.6 if n < 12 else 0.25) * n), 20)))
+    return (spans, matched) if spans and matched >= least else None
+
+
 def locate_roughly(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """quotes (quote_id, doc, quote, perhaps hint_page) on pages (doc, page: int, words: plain_words): quote_id, page, spans, matched.
 
     spans: (page, first word, last word), the first page's first. A quote that does not end on its page goes on at the
     next; a page that does not take up the quote ends it. Found is what matches 25 percent of its words (60 under twelve
     words), 20 at most and 3 at least; of a quote and its parts after blank lines, the first found. Others have no row.
+    A task holds the pages of one document at a time.
     """
     kind = quotes.schema["quote_id"].dataType.simpleString()
-    pages = kept(dealt(pages, "doc", "page"))  # words are made once, each page stays where later hops meet it
-    now = kept(_first_pages(kept(_attempts(quotes)), pages))
-    state = f"quote_id {kind}, attempt int, doc {quotes.schema['doc'].dataType.simpleString()}, n int, page int, left array<string>, off boolean, first int, last int, hits int"
-    now = now.select("quote_id", "attempt", "doc", F.size("q").alias("n"), "page", F.col("q").alias("left"), F.lit(True).alias("off"))
-    found = None
-    for hop in range(MORE_PAGES + 1):
-
-        def run(batches: Iterator[pd.DataFrame], hop: int = hop) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for r in b.itertuples(index=False):
-                    page, left = list(r.words), list(r.left)
-                    hits, first, last, used = aligned(page, left, seeds_of(page, left))
-                    need = 3 if hop == 0 or r.off else max(LEAST_WORDS, min(20, len(left) // 2))
-                    if hits >= max(need, 1):
-                        out.append((r.quote_id, r.attempt, r.doc, r.n, r.page, left[used:], last >= len(page) - 3, first, last, hits))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in state.split(", ")])
-
-        done = kept(now.join(pages, ["doc", "page"]).mapInPandas(run, state))
-        spans = done.select("quote_id", "attempt", "n", F.lit(hop).alias("hop"), "page", "first", "last", "hits")
-        found = spans if found is None else found.unionByName(spans)
-        now = done.filter(F.size("left") >= LEAST_WORDS).select("quote_id", "attempt", "doc", "n", (F.col("page") + 1).alias("page"), "left", "off")
-    listed = found.groupBy("quote_id", "attempt", "n").agg(F.sort_array(F.collect_list(F.struct("hop", "page", "first", "last"))).alias("s"), F.sum("hits").alias("matched"))
-    share = F.floor(F.when(F.col("n") < 12, 0.6).otherwise(0.25) * F.col("n"))
-    floor = F.least("n", F.greatest(F.lit(3), F.least(share, F.lit(20))))
-    sure = listed.filter(F.col("matched") >= floor).withColumn("_r", F.row_number().over(Window.partitionBy("quote_id").orderBy("attempt"))).filter("_r = 1")
-    spans = F.transform("s", lambda x: F.struct(x["page"].alias("page"), x["first"].alias("first"), x["last"].alias("last")))
-    return sure.select("quote_id", F.col("s")[0]["page"].alias("page"), spans.alias("spans"), F.col("matched").cast("long").alias("matched"))
+    held = pages.select("doc", "page", F.array_join("words", " ").alias("words")).filter("doc is not null and page is not null")
+    asked = _attempts(quotes).filter("doc is not null").select("quote_id", "doc", "hint", "attempt", F.array_join("q", " ").alias("words"))
+    both = dealt(held.unionByName(asked, allowMissingColumns=True), "doc").sortWithinPartitions("doc", F.col("page").asc_nulls_last())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held = None, {}
+        for b in batches:
+            ids, found, at = b.column("quote_id"), [], []
+            for i, (own, page, words, attempt, hint) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "page", "words", "attempt", "hint")), strict=True)):
+                if own != doc:
+                    doc, held = own, {}
+                if page is not None:
+                    held[page] = (words or "").split()
+                elif (place := placed(held, words.split(), attempt, hint)) is not None:
+                    at.append(i)
+                    found.append((attempt, *place))
+            spans = pa.array([[dict(zip(("page", "first", "last"), x)) for x in spans] for _, spans, _ in found], pa.list_(pa.struct([(c, pa.int32()) for c in ("page", "first", "last")])))
+            columns = [ids.take(pa.array(at, pa.int64())), pa.array([a for a, _, _ in found], pa.int32()), spans, pa.array([m for _, _, m in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["quote_id", "attempt", "spans", "matched"])
+
+    found = both.mapInArrow(run, f"quote_id {kind}, attempt int, spans array<struct<page:int,first:int,last:int>>, matched long")
+    sure = found.withColumn("_r", F.row_number().over(Window.partitionBy("quote_id").orderBy("attempt"))).filter("_r = 1")
+    return sure.select("quote_id", F.col("spans")[0]["page"].alias("page"), "spans", "matched")

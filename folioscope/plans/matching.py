@@ -15,7 +15,8 @@ PAGE_WORDS, QUOTE_FROM, QUOTE_WORDS = 200, 170, 60
 @query()
 def damaged_quotes(spark, sf_dir):
     """A quote from each document, over a page's end where it is long enough, every ninth word lost and every thirteenth changed, found again on its pages."""
-    words = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", quotes.plain_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    texts = table(spark, sf_dir, "documents").filter("text is not null")
+    words = texts.select("doc_id", F.explode(F.array(quotes.plain_words(F.col("text")))).alias("w")).filter(F.size("w") > 0)  # exploded, so that no filter makes the words again
     n_pages = F.ceil(F.size("w") / PAGE_WORDS).cast("int")
     cut = F.transform(F.sequence(F.lit(1), n_pages), lambda p: F.slice("w", (p - 1) * PAGE_WORDS + 1, PAGE_WORDS))  # cut first: a row holds its page alone
     pages = words.select(F.col("doc_id").alias("doc"), F.posexplode(cut).alias("page", "words")).withColumn("page", F.col("page") + 1)
